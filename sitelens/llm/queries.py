@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, quality, secrets, sharding, toxicity
+from . import decontaminate, licenses, mixing, ppm, quality, secrets, sharding, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         return table(s, d, "documents")
 
     return {
+        "op1_ppm": lambda s, d: ppm.report(docs(s, d)),
         "op2_toxicity_fm": lambda s, d: toxicity.report(docs(s, d), table(s, d, "labels")),
         "op3_quality_votes": lambda s, d: quality.report(docs(s, d)),
         "op4_mixing_raking": lambda s, d: mixing.report(docs(s, d)),

@@ -46,7 +46,7 @@ _SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,hash:string>>"
 def _spans(text: Column, kind: str, rank: int) -> Column:
     """The kind's matches in a text as structs (start, rank, stop, kind, hash of the value)."""
     pattern, before, least = KINDS[kind]
-    both = F.lit(f"(?s)(.*?)({pattern})")
+    both = F.lit(rf"(?s)(.*?)({pattern}|\z)")  # the end of the text matches too, else the search of the tail is quadratic
     pairs = F.arrays_zip(
         F.regexp_extract_all(text, both, F.lit(1)).alias("gap"), F.regexp_extract_all(text, both, F.lit(2)).alias("hit")
     )
