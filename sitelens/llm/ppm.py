@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, bucket_of, pin, plain_words
 
-ORDER = 4
+ORDER = 5
 END = b"\xff"
-MAX_NODES, MAX_HEAD = 1 << 20, 1 << 18
+MAX_NODES, MAX_HEAD = 1 << 21, 1 << 18
 #: Bytes and distinct words that a task works on at a time.
 CHUNK, FLUSH = 4 << 20, 400_000
 
@@ -200,8 +200,9 @@ def train(texts: DataFrame) -> tuple[Trie, DataFrame, int, int, int]:
                 break
         keep = keep | ((F.col("k") == order) & (level >= least))
     kept = contexts.where(keep).select("k", "context")
-    rows = nodes.join(kept, ["k", "context"]).select("k", "node", "n").toPandas()
-    trie = Trie([(g["node"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for g in (rows[rows["k"] == o] for o in range(ORDER + 1))])
+    rows = nodes.join(kept, ["k", "context"]).select("k", "node", "n").toArrow()
+    order, node, n = (rows[c].to_numpy() for c in ("k", "node", "n"))
+    trie = Trie([(node[order == k], n[order == k]) for k in range(ORDER + 1)])
     words = counted.where(F.col("word").isNotNull()).select("word", F.col("n").alias("c"))
     return trie, words, sums.n, sums.v + (sums.texts > 0), sums.texts
 
