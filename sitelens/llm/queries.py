@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, ppm, quality, secrets, sharding, toxicity
+from . import decontaminate, jaccard, licenses, mixing, ppm, quality, secrets, sharding, suffixes, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,8 @@ def queries() -> dict[str, Query]:
         "op6_bounded_ring": lambda s, d: sharding.report(docs(s, d)),
         "op7_license_index": lambda s, d: licenses.scan(docs(s, d)),
         "op8_decontamination": lambda s, d: decontaminate.report(docs(s, d), table(s, d, "benchmark")),
+        "op9_suffix_dedup": lambda s, d: suffixes.report(docs(s, d)),
+        "op10_ngram_jaccard": lambda s, d: jaccard.report(docs(s, d)),
     }
 
 
