@@ -102,6 +102,10 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
+def _count(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+
+
 def report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, and how many of them are live or examples."""
     found = find(docs, **options)
@@ -121,7 +125,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return found.join(classed, "rid", "left").select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in BASE],
+        *[_count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("spans")).alias("spans"),
         *[F.coalesce(c, zero).alias(c) for c in ("n_live", "n_examples", "most_owners")],
