@@ -40,7 +40,8 @@ class Settings:
     epochs: int = 30
     batch: int = 128
     rate: float = 0.02
-    decay: float = 1e-3
+    #: Variance of the Gaussian prior of every weight; the more rows, the less it holds them back.
+    variance: float = 10.0
     prior: float = 0.05
     seed: int = 7
 
@@ -79,7 +80,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, s: Settin
     p = {"b": np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))]), "w": np.zeros(n), "v": rng.normal(0, 0.01, (n, k))}
     m = {a: np.zeros_like(x) for a, x in p.items()}
     u = {a: np.zeros_like(x) for a, x in p.items()}
-    step = 0
+    step, decay = 0, 1 / (s.variance * max(1, len(rows)))
     for _ in range(s.epochs):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), s.batch):
@@ -92,8 +93,8 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, s: Settin
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[ids]) / len(ids)
             grad = {
                 "b": np.array([g.sum()]),
-                "w": x.T @ g + s.decay * p["w"],
-                "v": x.T @ (g[:, None] * xv) - (x.T @ g)[:, None] * p["v"] + s.decay * p["v"],
+                "w": x.T @ g + decay * p["w"],
+                "v": x.T @ (g[:, None] * xv) - (x.T @ g)[:, None] * p["v"] + decay * p["v"],
             }
             step += 1
             for a, x_ in grad.items():
