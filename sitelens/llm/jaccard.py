@@ -2,9 +2,10 @@
 
 A text's set is its distinct ``WORDS``-word shingles, as 64-bit hashes.  Two sets with 100 * intersection >=
 PERCENT * union share a token among the first n - ceil(PERCENT * n / 100) + 1 of each, under any global order of
-the tokens.  Two orders are used: rarest first, by a table of 2^20 counts over the whole corpus, and a mixed
-hash.  Candidates come from the prefixes of the first order, pass the length and position filters, must also
-share a token of the prefixes of the second order, and are verified on the whole sets.
+the tokens.  Two orders are used: rarest first, by a table of 2^COUNT_BITS counts over the whole corpus, and a
+mixed hash.  Candidates come from the prefixes of the first order, pass the length and position filters, must also
+share a token of the prefixes of the second order (by 32 bits of it, which only lets more through), and are
+verified on the whole sets.
 
 Only components are wanted, so pairs inside a component are never made.  Texts with equal sets are one class.
 STAR_ROUNDS rounds first verify classes against one other class for each of their first STAR_KEYS tokens of the
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, pin, plain_words, unpin
 
 WORDS, PERCENT = 5, 80
-STAR_KEYS, STAR_ROUNDS = 8, 2
+STAR_KEYS, STAR_ROUNDS = 4, 2
 #: The table of counts behind the first order has 2^COUNT_BITS places.
-COUNT_BITS = 20
+COUNT_BITS = 18
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
 
@@ -69,17 +70,27 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=1)
+    counts = np.zeros(1 << COUNT_BITS, np.int64)  # of the task's tokens, written as a row of its own
     for batch in batches:
         n, key, packed = [], [], []
         for rid, text in zip(batch.column("rid").to_pylist(), as_bytes(batch.column("text")), strict=True):
             s = shingles(text)
+            np.add.at(counts, _places(s), 1)
             n.append(len(s))
             key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else rid.to_bytes(8, "big"))
             packed.append(z.compress(text) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(packed, pa.binary())],
-            names=["rid", "doc_id", "n", "key", "z"],
+            [batch.column("rid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(packed, pa.binary()), pa.nulls(len(n), pa.binary())],
+            names=["rid", "doc_id", "n", "key", "z", "counts"],
         )
+        kind = batch.column("doc_id").type
+    if counts.any():
+        row = [pa.nulls(1, pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*row, pa.array([z.compress(counts.tobytes())], pa.binary())], names=["rid", "doc_id", "n", "key", "z", "counts"])
+
+
+def _places(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -89,32 +100,35 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _place_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = 1 << COUNT_BITS
-    total = np.zeros(size, np.int64)
+    """(place, n): the sums of the tasks' tables."""
+    z = zstandard.ZstdDecompressor()
+    total = np.zeros(1 << COUNT_BITS, np.int64)
     for batch in batches:
-        for s in _sets(batch.column("z")):
-            np.add.at(total, (s >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
+        for data in batch.column("counts").to_pylist():
+            total += np.frombuffer(z.decompress(data), np.int64)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["place", "n"])
 
 
 def _prefixes(held):
-    """cid, n, rare (the prefix by rarity, in order; null where a token occurs nowhere else) and mixed."""
+    """cid, n, rare (the prefix by rarity, in order; null where a token occurs nowhere else), mixed and its first tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = held.value
         for batch in batches:
-            n, rare, mixed = [], [], []
+            n, rare, mixed, keys = [], [], [], []
             for s in _sets(batch.column("z")):
                 p = len(s) - -(-PERCENT * len(s) // 100) + 1
-                c = counts[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+                c = counts[_places(s)]
                 first = np.lexsort((s, c))[:p]
                 n.append(len(s))
                 rare.append(pa.array(s[first].view(np.int64), mask=c[first] < 2))
-                mixed.append(np.sort(_mix(s ^ _ODD[1]))[:p].view(np.int64))
+                second = np.sort(_mix(s ^ _ODD[1]))[:p]
+                mixed.append(second.astype(np.uint32).view(np.int32))
+                keys.append(second[:STAR_KEYS].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cid"), pa.array(n, pa.int64()), pa.array([x.to_pylist() for x in rare], pa.list_(pa.int64())), pa.array(mixed, pa.list_(pa.int64()))],
-                names=["cid", "n", "rare", "mixed"],
+                [batch.column("cid"), pa.array(n, pa.int64()), pa.array([x.to_pylist() for x in rare], pa.list_(pa.int64())), pa.array(mixed, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["cid", "n", "rare", "mixed", "keys"],
             )
 
     return run
@@ -133,21 +147,25 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _verify(pairs: DataFrame, prefixes: DataFrame, reps: DataFrame, label: str) -> DataFrame:
-    """Of the pairs (a, b), those that share a token of the second order's prefixes and then hold on the sets."""
+def _verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that hold on the whole sets."""
+    both = (
+        pairs.join(reps.select(F.col("cid").alias("b"), F.col("z").alias("zb")), "b")
+        .join(reps.select(F.col("cid").alias("a"), F.col("z").alias("za")), "a")
+        .select("a", "b", "za", "zb")
+    )
+    return pin(both.mapInArrow(_verified, "a bigint, b bigint"), "jaccard-links")
+
+
+def _in_both_orders(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share a token of the second order's prefixes as well."""
     mixed = prefixes.select("cid", "mixed")
-    near = (
+    return (
         pairs.join(mixed.select(F.col("cid").alias("a"), F.col("mixed").alias("ma")), "a")
         .join(mixed.select(F.col("cid").alias("b"), F.col("mixed").alias("mb")), "b")
         .where(F.arrays_overlap("ma", "mb"))
         .select("a", "b")
     )
-    both = (
-        near.join(reps.select(F.col("cid").alias("b"), F.col("z").alias("zb")), "b")
-        .join(reps.select(F.col("cid").alias("a"), F.col("z").alias("za")), "a")
-        .select("a", "b", "za", "zb")
-    )
-    return pin(both.mapInArrow(_verified, "a bigint, b bigint"), label)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -191,17 +209,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     """The rows (rid, doc_id, n, key), pinned, and (key, comp) of every class of equal sets."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    rows = pin(rows.mapInArrow(_rows, f"rid bigint, doc_id {kind}, n bigint, key binary, z binary"), "jaccard-rows")
+    packed = pin(rows.mapInArrow(_rows, f"rid bigint, doc_id {kind}, n bigint, key binary, z binary, counts binary"), "jaccard-packed")
+    rows = pin(packed.where("rid IS NOT NULL").select("rid", "doc_id", "n", "key"), "jaccard-rows")
     classes = pin(rows.groupBy("key").agg(F.min("rid").alias("cid")), "jaccard-classes")
-    reps = pin(rows.where("n > 0").join(classes, "key").where("rid = cid").select("cid", "z"), "jaccard-reps")
+    reps = pin(packed.where("n > 0").join(classes, "key").where("rid = cid").select("cid", "z"), "jaccard-reps")
     counts = np.zeros(1 << COUNT_BITS, np.int64)
-    found = reps.mapInArrow(_place_counts, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    found = packed.where("counts IS NOT NULL").select("counts").mapInArrow(_place_counts, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
     counts[found["place"].to_numpy()] = found["n"].to_numpy()
+    unpin(packed)
     held = docs.sparkSession.sparkContext.broadcast(counts)
-    prefixes = pin(reps.mapInArrow(_prefixes(held), "cid bigint, n bigint, rare array<bigint>, mixed array<bigint>"), "jaccard-prefixes")
+    prefixes = pin(reps.mapInArrow(_prefixes(held), "cid bigint, n bigint, rare array<bigint>, mixed array<int>, keys array<bigint>"), "jaccard-prefixes")
     labels = pin(prefixes.select("cid", F.col("cid").alias("comp")), "jaccard-labels")
 
-    stars = prefixes.select("cid", "n", F.explode(F.slice("mixed", 1, STAR_KEYS)).alias("token"))
+    stars = prefixes.select("cid", "n", F.explode("keys").alias("token"))
     for k in range(STAR_ROUNDS):
         of = stars.join(labels, "cid")
         centre = F.struct(F.xxhash64("cid", F.lit(k)), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
@@ -213,10 +233,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
             .select("a", F.col("cid").alias("b"))
             .distinct()
         )
-        labels = _contracted(labels, _verify(pairs, prefixes, reps, "jaccard-links"))
+        labels = _contracted(labels, _verify(pairs, reps))  # the keys are of the second order
 
     postings = prefixes.select("cid", "n", F.posexplode("rare").alias("i", "token")).where("token IS NOT NULL")
-    postings = postings.join(labels, "cid")
+    # one shuffle: the tokens of one class alone go before anything is joined
+    postings = postings.select("token", "cid", (F.shiftleft("n", 32) + F.col("i")).alias("at")).repartition("token")
+    again = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+    postings = pin(postings.join(again.hint("shuffle_merge"), "token", "left_semi"), "jaccard-again")
+    postings = postings.join(labels, "cid").select(
+        "token", "cid", "comp", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("i")
+    )
     sizes = postings.groupBy("token", "comp").agg(F.count("*").alias("k"))
     shared = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     postings = pin(postings.join(shared.select("token", "top"), "token"), "jaccard-postings")
@@ -229,7 +255,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
         .select(F.col("cid").alias("a"), "b")
         .distinct()
     )
-    labels = _contracted(labels, _verify(pairs, prefixes, reps, "jaccard-links"))
+    labels = _contracted(labels, _verify(_in_both_orders(pairs, prefixes), reps))
     return rows, classes.join(labels, "cid", "left").select("key", F.coalesce("comp", "cid").alias("comp"))
 
 
