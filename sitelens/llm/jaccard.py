@@ -9,9 +9,12 @@ verified on the whole sets.
 
 Only components are wanted, so pairs inside a component are never made.  Texts with equal sets are one class.
 STAR_ROUNDS rounds first verify classes against one other class for each of their first STAR_KEYS tokens of the
-second order, a linear number of pairs, which contracts large groups of near copies.  The last round makes the
+second order, a linear number of pairs, which contracts large groups of near copies.  RARE_ROUNDS more verify
+the classes outside a token's largest component against one member of it for every prefix token of the first
+order, a linear number of pairs as well, and take in most members left outside.  The last round makes the
 remaining candidates: of the classes that share a prefix token, those outside the token's largest component
-meet the others, members of the own component excepted.  No candidate is capped or dropped.
+meet the others, members of the own component excepted.  A pair is left to the earlier token where it shares
+one of the RECENT before.  No candidate is capped or dropped.
 
 Components are found by alternating large and small stars over pinned edge tables; neither links nor
 components reach the driver.
@@ -37,6 +40,8 @@ from .common import as_bytes, pin, plain_words, unpin
 
 WORDS, PERCENT = 5, 80
 STAR_KEYS, STAR_ROUNDS = 4, 2
+#: Rounds of stars over the tokens of the first order; how many earlier tokens the last join looks at for a pair made before.
+RARE_ROUNDS, RECENT = 2, 8
 #: The table of counts behind the first order has 2^COUNT_BITS places.
 COUNT_BITS = 18
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -205,6 +210,13 @@ def _fits() -> F.Column:
     return 100 * most >= PERCENT * (F.col("n") + F.col("nb") - most)
 
 
+def _in_many(postings: DataFrame) -> DataFrame:
+    """The postings of tokens that several components share, with the token's largest component as top."""
+    sizes = postings.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    shared = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    return postings.join(shared.select("token", "top"), "token")
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """The rows (rid, doc_id, n, key), pinned, and (key, comp) of every class of equal sets."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -240,18 +252,26 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     postings = postings.select("token", "cid", (F.shiftleft("n", 32) + F.col("i")).alias("at")).repartition("token")
     again = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
     postings = pin(postings.join(again.hint("shuffle_merge"), "token", "left_semi"), "jaccard-again")
-    postings = postings.join(labels, "cid").select(
-        "token", "cid", "comp", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("i")
+    postings = postings.select("token", "cid", F.shiftright("at", 32).alias("n"), F.col("at").bitwiseAND((1 << 32) - 1).alias("i"))
+    for k in range(RARE_ROUNDS):
+        of = _in_many(postings.join(labels, "cid"))
+        centre = F.struct(F.xxhash64("cid", "token", F.lit(k)), F.col("cid").alias("a"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+        centres = of.where("comp = top").groupBy("token").agg(F.min(centre).alias("c")).select("token", "c.a", "c.nb", "c.ib")
+        pairs = of.where("comp <> top").join(centres, "token").where(_fits()).select("a", F.col("cid").alias("b")).distinct()
+        labels = _contracted(labels, _verify(_in_both_orders(pairs, prefixes), reps))
+
+    # a pair that shares one of the RECENT tokens before this one was made there, as the filters only tighten along the order
+    before = F.slice("rare", F.greatest(F.col("i") - RECENT + 1, F.lit(1)).cast("int"), F.least(F.col("i"), F.lit(RECENT)).cast("int"))
+    postings = pin(_in_many(postings.join(labels, "cid")).join(prefixes.select("cid", "rare"), "cid").withColumn("recent", before).drop("rare"), "jaccard-postings")
+    others = postings.select(
+        "token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"), F.col("recent").alias("recent_b")
     )
-    sizes = postings.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    shared = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    postings = pin(postings.join(shared.select("token", "top"), "token"), "jaccard-postings")
-    others = postings.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
     pairs = (
         postings.where("comp <> top")
         .join(others, "token")
         .where("comp <> cb AND (cb = top OR cid < b)")
         .where(_fits())
+        .where(~F.coalesce(F.arrays_overlap("recent", "recent_b"), F.lit(False)))
         .select(F.col("cid").alias("a"), "b")
         .distinct()
     )
