@@ -39,9 +39,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, pin, plain_words, unpin
 
 WORDS, PERCENT = 5, 80
-STAR_KEYS, STAR_ROUNDS = 4, 2
+STAR_KEYS, STAR_ROUNDS = 4, 1
 #: Rounds of stars over the tokens of the first order; how many earlier tokens the last join looks at for a pair made before.
-RARE_ROUNDS, RECENT = 2, 8
+RARE_ROUNDS, RECENT = 1, 8
 #: The table of counts behind the first order has 2^COUNT_BITS places.
 COUNT_BITS = 18
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
