@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import urls
 
 
-def first_seen(stream: DataFrame, within: str = "1 hour") -> DataFrame:
-    """(url, ts) rows with url_id and domain; repeats within the watermark are dropped."""
+def first_seen(stream: DataFrame) -> DataFrame:
+    """(url, ts) rows with url_id and domain, each URL once ever; none is late, so the state keeps every url_id."""
     ids = stream.withColumn("url_id", urls.url_id(F.col("url"))).withColumn("domain", urls.host(F.col("url")))
-    return ids.where("url_id IS NOT NULL").withWatermark("ts", within).dropDuplicatesWithinWatermark(["url_id"])
+    return ids.where("url_id IS NOT NULL").dropDuplicates(["url_id"])
 
 
 def polite(stream: DataFrame, delay: float = 2.0) -> DataFrame:
