@@ -3,7 +3,12 @@
 Patterns find candidates and their places.  The candidates' hashes are then counted over the whole corpus by
 distinct owners and repositories: a value that many owners hold is a widely copied example, one that a single
 owner holds looks like a live credential.  Besides the base kinds, the scan finds GitHub tokens, JSON web
-tokens and private-key headers.
+tokens and private keys.
+
+A private key goes from its BEGIN line through its END line, and its value is what stands between them, without
+white space and escaped line ends.  If the END line is missing before the next BEGIN line or the end of the text,
+the key is the BEGIN line and the lines of 16 or more base64 characters right after it.  A key without a body is
+listed, but has no value and so counts neither as live nor as an example.
 
 Places come from matching ``(.*?)(pattern)`` over the whole text: the lengths of what lies between matches and
 of the matches add up.  The texts are read once and never shuffled; the spans are written to the shared folder.
@@ -26,6 +31,9 @@ _ASSIGN = (
     r"|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?"
 )
 _VALUE = r"[A-Za-z0-9+/_.=-]"
+_BEGIN, _END = (rf"-----{side} [A-Z ]{{0,40}}PRIVATE KEY-----" for side in ("BEGIN", "END"))
+_BREAK = r"(?:\s|\\[nr])"
+_CUT = rf"{_BEGIN}(?:{_BREAK}++[A-Za-z0-9+/=]{{16,}}+)*+"  # possessive, as Java's other loops over groups recurse
 #: kind -> (pattern, what stands before the secret value in a match, least length of the value)
 KINDS = {
     "assign": (rf"{_ASSIGN}{_VALUE}+", _ASSIGN, 6),
@@ -33,7 +41,7 @@ KINDS = {
     "hex": (r"[0-9a-f]{24,}", "", 24),
     "github": (r"gh[pousr]_[A-Za-z0-9]{36,}", "", 40),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "", 28),
-    "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "", 28),
+    "pem": (rf"{_BEGIN}.*?(?:{_END}|(?=-----BEGIN )|\z)", "", 0),
 }
 BASE = ("assign", "access", "hex")
 #: What a text must contain for a kind to be worth a look with the pattern.
@@ -43,6 +51,16 @@ WIDE = 3
 _SPAN = "array<struct<start:int,rank:int,stop:int,kind:string,hash:string>>"
 
 
+def _key(hit: Column) -> Column:
+    """The private key in what the pattern found: all of it with an END line, else the BEGIN line and the body after it."""
+    return F.when(hit.rlike(rf"{_END}\z"), hit).otherwise(F.regexp_extract(hit, _CUT, 0))
+
+
+def _body(key: Column) -> Column:
+    """What stands between a key's BEGIN and END, without white space and escaped line ends; null if nothing does."""
+    return F.nullif(F.regexp_replace(key, rf"^{_BEGIN}|{_END}\z|{_BREAK}", ""), F.lit(""))
+
+
 def _spans(text: Column, kind: str, rank: int) -> Column:
     """The kind's matches in a text as structs (start, rank, stop, kind, hash of the value)."""
     pattern, before, least = KINDS[kind]
@@ -54,13 +72,15 @@ def _spans(text: Column, kind: str, rank: int) -> Column:
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["hit"])
-        value = F.regexp_replace(pair["hit"], f"^{before}", "") if before else pair["hit"]
+        end = start + F.length(pair["hit"])
+        hit = _key(pair["hit"]) if kind == "pem" else pair["hit"]
+        stop = start + F.length(hit)
+        value = _body(hit) if kind == "pem" else F.regexp_replace(hit, f"^{before}", "") if before else hit
         span = F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), F.lit(kind).alias("kind"), F.sha2(value, 256).alias("hash")
         )
-        kept = F.when(F.length(value) >= least, F.array(span)).otherwise(empty)
-        return F.struct(stop.alias("at"), F.concat(state["spans"], kept).alias("spans"))
+        kept = F.when(F.length(hit if kind == "pem" else value) >= (least or 1), F.array(span)).otherwise(empty)
+        return F.struct(end.alias("at"), F.concat(state["spans"], kept).alias("spans"))
 
     start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
     found = F.aggregate(pairs, start, step, lambda s: s["spans"])
@@ -87,7 +107,7 @@ def find(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner:
 
 def ownership(found: DataFrame) -> DataFrame:
     """hash, n_owners, n_repos, n_places over the whole corpus."""
-    each = found.where(F.size("spans") > 0).select("owner", "repo", F.explode("spans.hash").alias("hash"))
+    each = found.where(F.size("spans") > 0).select("owner", "repo", F.explode("spans.hash").alias("hash")).where("hash IS NOT NULL")
     return (
         each.groupBy("hash", "owner", "repo")
         .agg(F.count("*").alias("n"))
