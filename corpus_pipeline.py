@@ -37,7 +37,7 @@ STAGES = [
     ("mixing", mix),
     ("sharding", shards),
 ]
-#: The fitted and iterative stages have no SQL form; tests hold run() against a brute-force version.
+#: The fitted and iterative stages have no SQL form; no test holds run() against a brute-force version yet.
 ORACLE_SQL = None
 
 
