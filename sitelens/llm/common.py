@@ -48,30 +48,66 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one is set only where the session names none."""
+    """The folder that all executors share, from spark.checkpoint.dir.
+
+    Where none is named, a session on one machine gets a temporary folder, and one on a cluster an error: its machines don't see each other's folders.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         at = sc._jsc.sc().getCheckpointDir()
         if at.isEmpty():
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="sitelens-"))
             at = sc._jsc.sc().getCheckpointDir()
         root = at.get()
     return root.rstrip("/")
 
 
+#: Removes the shuffle files of a write as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The folders of pinned tables that nothing has deleted yet.
+_pinned: list[str] = []
+
+
 def pin(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: computed once, and its lineage is cut."""
+    """Write df to the shared folder and read it again: computed once, its lineage is cut, and its shuffle files go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/pinned-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    _pinned.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unpin(df: DataFrame) -> None:
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unpin(*dfs: DataFrame) -> None:
     """Delete what pin() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if "/pinned-" in path.toString():
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for df in dfs:
+        names = df.inputFiles()[:1]
+        for path in [p for p in _pinned if names and f"/{p.rpartition('/')[2]}/" in names[0]]:
+            _delete(df.sparkSession, path)
+            _pinned.remove(path)
+
+
+def unpin_since(spark: SparkSession, mark: int) -> None:
+    """Delete all that was pinned after ``mark`` tables stood; for a caller that has written its result."""
+    while len(_pinned) > mark:
+        _delete(spark, _pinned.pop())
+
+
+def pinned() -> int:
+    """How many pinned tables stand, as a mark for unpin_since()."""
+    return len(_pinned)
