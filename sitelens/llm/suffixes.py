@@ -9,18 +9,22 @@ A suffix array over all places of a corpus would move tens of times its size, so
 content.  Every window of LENGTH bytes has an anchor, its K-gram with the least hash, leftmost among equals;
 equal windows have equal anchors at the same distance.  The windows that share an anchor form a span.
 
-1. Anchors whose K-gram occurs once in the corpus can't lie in a repeated window and go.
-2. Spans that are equal as a whole repeat as a whole; this takes the inside of every long repeat.
-3. One copy of each span whose K-gram occurs in different spans is dealt by that K-gram's hash, so equal
+1. Equal texts, known by a 128-bit hash, are one text with a number of copies; two copies repeat as a whole.
+2. Anchors whose K-gram occurs once in the corpus can't lie in a repeated window and go.
+3. Spans that are equal as a whole repeat as a whole; this takes the inside of every long repeat.
+4. One copy of each span whose K-gram occurs in different spans is dealt by that K-gram's hash, so equal
    windows meet, and the groups' suffix arrays tell which windows repeat.
-4. A K-gram that more than HOT different spans have would fill a task; the windows of those spans are hashed
-   (128 bits) and counted by a partial aggregation instead.
+5. A K-gram that more than HOT different spans have, such as one beside the edge of a passage in very many texts,
+   would fill a task.  Its windows are halved by their distance from the anchor; those of a half share more bytes
+   than the K-gram and are dealt by all of these, again and again, until every group is small.  Each half again
+   holds its equal pieces once, so all groups go through step 4 in the end.
 
-Per text, the repeated windows become removed runs.  Texts are known by a 128-bit hash, so copies of a text are
-one text with a count.  Texts are scanned three times and shuffled, compressed, twice.
+Per text, the repeated windows become removed runs.  Texts are scanned once and shuffled, compressed, three times.
 
 Defined cases: a null text is empty; texts of fewer than LENGTH bytes keep all bytes; the same text twice is
-removed as a whole, whatever its id; an empty table gives an empty result.
+removed as a whole, whatever its id, and repeated rows stay rows of their own; a very long text is scanned in
+pieces that overlap by a window, so none is lost, and is held whole in one task; ties between equal K-grams of a
+window go to the leftmost; other columns, whatever their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,9 +39,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pin
+from .common import as_bytes, pin, unpin
 
-LENGTH, K, HOT = 200, 16, 4096
+LENGTH, K, HOT = 200, 64, 256
 #: Bytes that are hashed at a time, a text's bytes at most in one piece, and bytes of a suffix array.
 CHUNK, PIECE, BLOCK = 2 << 20, 1 << 25, 1 << 20
 _PLACE = np.uint64((1 << 26) - 1)
@@ -133,13 +137,13 @@ def _hashes(a: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, last window, K-gram hash) of every anchor of the texts."""
+def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, last window, the anchor's distance from the first, K-gram hash) of every anchor of the texts."""
     line = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     none = np.zeros(0, np.int64)
     if len(line) < LENGTH:
-        return none, none, none, none
+        return none, none, none, none, none
     h = _hashes(line)
     least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     width, size = LENGTH - K + 1, 1
@@ -153,12 +157,12 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     text = np.repeat(np.arange(len(texts)), many)
     place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(starts, many)
     if not len(place):
-        return none, none, none, none
+        return none, none, none, none, none
     anchor = anchor[place]
     new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
     last = np.r_[new[1:], len(place)] - 1
     text = text[new]
-    return text, place[new] - starts[text], place[last] - starts[text], h[anchor[new]].astype(np.int64)
+    return text, place[new] - starts[text], place[last] - starts[text], anchor[new] - place[new], h[anchor[new]].astype(np.int64)
 
 
 def _pieces(text: bytes) -> list[tuple[int, bytes]]:
@@ -182,74 +186,87 @@ def _in_chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[
         yield number, offset, part
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in as_bytes(batch.column("text"))]
-
-
 def _key(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(text)
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unzipped(z: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(z, max_output_size=1 << 31)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text_key, and the compressed text where the task has not seen the key before."""
+    z = zstandard.ZstdCompressor(level=1)
+    seen: set[bytes] = set()
     for batch in batches:
-        for _, _, part in _in_chunks(_texts(batch)):
-            gram, n = np.unique(anchors(part)[3], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n)], names=["gram", "n"])
+        keys, data = [], []
+        for text in as_bytes(batch.column("text")):
+            keys.append(_key(text or b""))
+            data.append(None if keys[-1] in seen else z.compress(text or b""))
+            seen.add(keys[-1])
+        if len(seen) > 1 << 20:
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(data, pa.binary())], names=["doc_id", "text_key", "z"])
 
 
 def _all_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for number, offset, part in _in_chunks(_texts(batch)):
-            text, first, last, gram = anchors(part)
-            keys = [_key(p) if o == 0 and len(p) < PIECE else b"" for p, o in zip(part, offset, strict=True)]
-            if b"" in keys:  # a long text is known by the hash of the whole
-                whole = _texts(batch)
-                keys = [k or _key(whole[i]) for k, i in zip(keys, number, strict=True)]
-            span = [xxhash.xxh3_64_intdigest(part[t][a : b + LENGTH]) for t, a, b in zip(text, first, last, strict=True)]
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, len(b), 512)):
+        tid = batch.column("tid").to_numpy()
+        for number, offset, part in _in_chunks([_unzipped(z) for z in batch.column("z").to_pylist()]):
+            text, first, last, back, gram = anchors(part)
+            span = [xxhash.xxh3_64_intdigest(part[t][a : b + LENGTH]) for t, a, b in zip(text.tolist(), first.tolist(), last.tolist(), strict=True)]
             start = np.array(offset, np.int64)[text]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(gram),
                     pa.array(np.array(span, np.uint64).astype(np.int64)),
-                    pa.array([keys[t] for t in text], pa.binary()),
+                    pa.array(tid[np.array(number, np.int64)[text]]),
                     pa.array((first + start).astype(np.int32)),
                     pa.array((last - first).astype(np.int16)),
+                    pa.array(back.astype(np.int16)),
                 ],
-                names=["gram", "span", "text_key", "first", "more"],
+                names=["gram", "span", "tid", "first", "more", "back"],
             )
 
 
-def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    z = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = _texts(batch)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([_key(t) for t in texts], pa.binary()), pa.array([z.compress(t) for t in texts], pa.binary())],
-            names=["doc_id", "text_key", "z"],
-        )
-
-
 # --- which windows repeat --------------------------------------------------------------------------------------
 
 
 def _cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the wanted spans of each text, each span once a task."""
-    done: set[tuple[int, int]] = set()
-    for batch in batches:
+    """The bytes of the wanted spans of each text."""
+    names = ["gram", "span", "back", "kinds", "data"]
+    kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int64(), pa.binary()]
+    for batch in (b.slice(at, 512) for b in batches for at in range(0, len(b), 512)):
         rows = []
         for z, want in zip(batch.column("z").to_pylist(), batch.column("want").to_pylist(), strict=True):
-            text = zstandard.ZstdDecompressor().decompress(z, max_output_size=1 << 31) if z else b""
-            for w in want:
-                if (w["gram"], w["span"]) not in done:
-                    done.add((w["gram"], w["span"]))
-                    rows.append((w["gram"], w["span"], text[w["first"] : w["first"] + w["more"] + LENGTH], w["hot"]))
-        if len(done) > 1_000_000:
-            done.clear()
-        gram, span, data, hot = zip(*rows, strict=True) if rows else ([], [], [], [])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(gram, pa.int64()), pa.array(span, pa.int64()), pa.array(data, pa.binary()), pa.array(hot, pa.bool_())],
-            names=["gram", "span", "data", "hot"],
-        )
+            text = _unzipped(z)
+            rows += [(w["gram"], w["span"], w["back"], w["kinds"], text[w["first"] : w["first"] + w["more"] + LENGTH]) for w in want]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces cut in two at the middle of near..far, the distances of their windows from the anchor.
+
+    All windows of a half cover the bytes from ``near`` before the anchor to LENGTH - ``far`` after it; the half is dealt by these bytes.
+    """
+    names = ["gram", "span", "home", "home_span", "low", "back", "near", "far", "data"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.int16(), pa.int16(), pa.binary()]
+    for batch in batches:
+        rows = []
+        for p in batch.to_pylist():
+            middle = (p["near"] + p["far"]) // 2
+            least = p["back"] - (len(p["data"]) - LENGTH)  # the distance of the last window
+            for near, far in {(p["near"], middle), (min(middle + 1, p["far"]), p["far"])}:
+                first, last = min(far, p["back"]), max(near, least)
+                if first < last:
+                    continue
+                skip = p["back"] - first
+                data = p["data"][skip : p["back"] - last + LENGTH]
+                shared = p["data"][p["back"] - near : p["back"] - far + LENGTH]
+                gram = xxhash.xxh3_64_intdigest(shared + near.to_bytes(2, "big") + far.to_bytes(2, "big"))
+                span = xxhash.xxh3_64_intdigest(data, seed=first)
+                rows.append((gram - (1 << 63), span - (1 << 63), p["home"], p["home_span"], p["low"] + skip, first, near, far, data))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
 
 def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -283,58 +300,64 @@ def _by_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found()
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for g, s, d in zip(*(batch.column(c).to_pylist() for c in ("gram", "span", "data")), strict=True):
-            n = len(d) - LENGTH + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([g] * n, pa.int64()),
-                    pa.array([s] * n, pa.int64()),
-                    pa.array(range(n), pa.int32()),
-                    pa.array([_key(d[i : i + LENGTH]) for i in range(n)], pa.binary()),
-                ],
-                names=["gram", "span", "low", "window"],
-            )
+def _by_arrays(spans: DataFrame) -> DataFrame:
+    """(gram, span, low, high): the runs of repeated windows of distinct spans (gram, span, data)."""
+    dealt = spans.select("gram", "span", "data").repartition("gram").sortWithinPartitions("gram", "span")
+    return dealt.mapInArrow(_by_suffixes, "gram bigint, span bigint, low int, high int")
+
+
+def _split(spans: DataFrame) -> list[DataFrame]:
+    """(gram, span, low, high), pinned, of the spans of the K-grams that more than HOT spans have."""
+    pieces = spans.where(F.col("kinds") > HOT).select(
+        "gram", "span", F.col("gram").alias("home"), F.col("span").alias("home_span"), F.lit(0).alias("low"), "back",
+        F.lit(0).cast("smallint").alias("near"), F.lit(LENGTH - K).cast("smallint").alias("far"), "data",
+    )
+    kinds, out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema), []
+    hot = pieces
+    while not hot.isEmpty():
+        halves = pin(hot.mapInArrow(_halves, kinds), "suffix-halves")
+        same = pin(halves.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min("data").alias("data")), "suffix-halves-once")
+        sizes = same.groupBy("gram").agg(F.count("*").alias("kinds"))
+        whole = same.where("n > 1").select("gram", "span", F.lit(0).alias("from"), (F.length("data") - LENGTH).alias("to"))
+        few = same.join(sizes.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT)), "gram")
+        partly = _by_arrays(few).select("gram", "span", F.col("low").alias("from"), F.col("high").alias("to")).join(same.where("n > 1"), ["gram", "span"], "left_anti")
+        runs = halves.join(whole.unionByName(partly), ["gram", "span"])
+        out.append(pin(runs.select(F.col("home").alias("gram"), F.col("home_span").alias("span"), (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high")), "suffix-runs"))
+        rest = pin(halves.join(sizes.where(F.col("kinds") > HOT), "gram").select(*pieces.columns), "suffix-hot")
+        unpin(halves, same, *([hot] if hot is not pieces else []))
+        hot = rest
+    return out
 
 
-def repeats(docs: DataFrame, packed: DataFrame) -> DataFrame:
-    """(text_key, runs): the runs of repeated windows [first, last] of every text that has any."""
-    texts = docs.select("text")
-    twice = texts.mapInArrow(_gram_counts, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
-    found = (
-        texts.mapInArrow(_all_anchors, "gram bigint, span bigint, text_key binary, first int, more smallint")
-        .join(twice, "gram")
-        .groupBy("gram", "span", "text_key", "first", "more")
-        .agg(F.count("*").alias("n"))
-    )
-    found = pin(found, "suffix-anchors")
-    kinds = found.groupBy("gram", "span").agg(F.sum("n").alias("n"), F.min(F.struct("text_key", "first", "more")).alias("at"))
-    kinds = pin(kinds, "suffix-spans")
+def repeats(texts: DataFrame) -> DataFrame:
+    """(tid, runs): the runs of windows [first, last] that repeat, of every text (tid, z) that has any; texts differ."""
+    every = pin(texts.select("tid", "z").mapInArrow(_all_anchors, "gram bigint, span bigint, tid bigint, first int, more smallint, back smallint"), "suffix-anchors")
+    twice = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    found = pin(every.join(twice, "gram"), "suffix-found")
+    unpin(every)
+    kinds = pin(found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "more", "back")).alias("at")), "suffix-kinds")
     several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    want = (
-        kinds.join(several, "gram")
-        .groupBy("at.text_key")
-        .agg(F.collect_list(F.struct("gram", "span", F.col("at.first").alias("first"), F.col("at.more").alias("more"), (F.col("kinds") > HOT).alias("hot"))).alias("want"))
+    at = F.struct("gram", "span", "kinds", F.col("at.first").alias("first"), F.col("at.more").alias("more"), F.col("at.back").alias("back"))
+    want = kinds.join(several, "gram").groupBy("at.tid").agg(F.collect_list(at).alias("want"))
+    spans = pin(
+        texts.select("tid", "z").join(want, "tid").select("z", "want").mapInArrow(_cut_spans, "gram bigint, span bigint, back smallint, kinds bigint, data binary"), "suffix-cut"
     )
-    spans = packed.select("text_key", "z").join(want, "text_key").select("z", "want")
-    spans = pin(spans.mapInArrow(_cut_spans, "gram bigint, span bigint, data binary, hot boolean"), "suffix-cut")
-    runs = "gram bigint, span bigint, low int, high int"
-    sorted_ = spans.where("not hot").select("gram", "span", "data").repartition("gram").sortWithinPartitions("gram", "span")
-    cool = sorted_.mapInArrow(_by_suffixes, runs)
-    windows = spans.where("hot").dropDuplicates(["gram", "span"]).mapInArrow(_windows, "gram bigint, span bigint, low int, window binary")
-    windows = pin(windows, "suffix-windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    hot = windows.join(again, "window").select("gram", "span", "low", F.col("low").alias("high"))
+    runs = pin(_by_arrays(spans.where(F.col("kinds") <= HOT)), "suffix-runs")
+    parts = [runs, *_split(spans)]
+    partly = parts[0]
+    for more in parts[1:]:
+        partly = partly.unionByName(more)
     whole = kinds.where("n > 1").select("gram", "span", F.lit(0).alias("low"), F.lit(None).cast("int").alias("high"))
-    partly = cool.unionByName(hot).join(kinds.where("n > 1"), ["gram", "span"], "left_anti")
-    result = whole.unionByName(partly)
-    return (
+    result = whole.unionByName(partly.join(kinds.where("n > 1"), ["gram", "span"], "left_anti"))
+    out = pin(
         found.join(result, ["gram", "span"])
-        .select("text_key", F.struct((F.col("first") + F.col("low")).alias("first"), (F.col("first") + F.coalesce("high", F.col("more").cast("int"))).alias("last")).alias("run"))
-        .groupBy("text_key")
-        .agg(F.sort_array(F.collect_list("run")).alias("runs"))
+        .select("tid", F.struct((F.col("first") + F.col("low")).alias("first"), (F.col("first") + F.coalesce("high", F.col("more").cast("int"))).alias("last")).alias("run"))
+        .groupBy("tid")
+        .agg(F.sort_array(F.collect_list("run")).alias("runs")),
+        "suffix-repeats",
     )
+    unpin(found, kinds, spans, *parts)
+    return out
 
 
 def _kept(text: bytes, runs: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -350,41 +373,55 @@ def _kept(text: bytes, runs: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)), [(a, b) for a, b in cut]
 
 
-def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, n_bytes, the removed runs of bytes, the bytes that are left and their sha256, one row a document."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    packed = docs.mapInArrow(_compressed, f"doc_id {kind}, text_key binary, z binary")
-    joined = packed.join(repeats(docs, packed), "text_key", "left").select("doc_id", "z", "runs")
+def _cut(with_text: bool):
+    """text_key, n_bytes, the removed runs, the bytes that are left where they are wanted, and their sha256."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, len(b), 512)):
             size, removed, left, sha = [], [], [], []
-            for data, runs in zip(batch.column("z").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                text = z.decompress(data, max_output_size=1 << 31)
+            for z, runs, copies in zip(batch.column("z").to_pylist(), batch.column("runs").to_pylist(), batch.column("copies").to_pylist(), strict=True):
+                text = _unzipped(z)
+                if copies > 1 and len(text) >= LENGTH:
+                    runs = [{"first": 0, "last": len(text) - LENGTH}]
                 kept, gone = _kept(text, runs)
                 size.append(len(text))
                 removed.append([{"start": a, "stop": b} for a, b in gone])
-                left.append(kept)
+                left.append(kept if with_text else None)
                 sha.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    batch.column("text_key"),
                     pa.array(size, pa.int64()),
                     pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
                     pa.array(left, pa.binary()),
                     pa.array(sha, pa.string()),
                 ],
-                names=["doc_id", "n_bytes", "removed", "kept", "kept_sha256"],
+                names=["text_key", "n_bytes", "removed", "kept", "kept_sha256"],
             )
 
-    return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes bigint, removed array<struct<start:bigint,stop:bigint>>, kept binary, kept_sha256 string")
+    return run
+
+
+def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, the removed runs of bytes, the bytes that are left and their sha256, one row a document."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    packed = pin(docs.mapInArrow(_packed, f"doc_id {kind}, text_key binary, z binary"), "suffix-packed")
+    once = packed.groupBy("text_key").agg(F.min("z").alias("z"), F.count("*").alias("copies"))
+    texts = pin(once.withColumn("tid", F.monotonically_increasing_id()), "suffix-texts")
+    ids = pin(packed.select("doc_id", "text_key"), "suffix-ids")
+    unpin(packed)
+    runs = repeats(texts)
+    of = texts.join(runs, "tid", "left").select("text_key", "z", "copies", "runs")
+    kinds = "text_key binary, n_bytes bigint, removed array<struct<start:bigint,stop:bigint>>, kept binary, kept_sha256 string"
+    done = pin(of.mapInArrow(_cut(with_text), kinds), "suffix-done")
+    unpin(texts, runs)
+    return ids.join(done, "text_key").drop("text_key")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return dedup(docs).select(
+    return dedup(docs, with_text=False).select(
         "doc_id",
         "n_bytes",
         F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r["stop"] - r["start"]).alias("n_removed"),
