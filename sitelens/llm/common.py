@@ -47,6 +47,17 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df under column names that no operator adds, and the new name of each old one."""
+    new = {c: f"column {k}" for k, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()]), new
+
+
+def restored(df: DataFrame, new: dict[str, str], extra: list[str] | None = None) -> DataFrame:
+    """The columns of before renamed(), and then extra ones."""
+    return df.select(*[F.col(f"`{n}`").alias(c) for c, n in new.items()], *(extra or []))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 

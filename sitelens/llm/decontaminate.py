@@ -14,12 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, as_bytes, pin, unpin, without
+from .common import alnum_words, as_bytes, pin, renamed, restored, unpin, without
 
 WINDOW = 10
 #: Benchmark text that one broadcast may hold; more is scanned in several blocks.
@@ -28,29 +29,51 @@ ADDED = {"n_words": "bigint", "hit_runs": "array<struct<start:bigint,stop:bigint
 
 
 class Grams:
-    """The n-grams of a block of items: hash -> [(words, items)], by length, and the words they use."""
+    """The n-grams of a block of items, by length: sorted hashes, the items they are in and where; and the items' words."""
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
         self.words: set[bytes] = set()
-        self.by_length: dict[int, dict[int, dict[tuple[bytes, ...], set[str]]]] = {}
+        self.items: list[tuple[str | None, list[bytes]]] = []
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
+        same: dict[bytes, bytes] = {}  # one object a word
         for item, text in items:
-            words = alnum_words(text)
-            self.words.update(words)
+            words = [same.setdefault(w, w) for w in alnum_words(text)]
             n = min(window, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                gram = tuple(words[i : i + n])
-                same = self.by_length.setdefault(n, {}).setdefault(self.key(gram), {})
-                same.setdefault(gram, set()).update([item] if item is not None else [])
+            if n:
+                keys = np.fromiter((self.key(words[i : i + n]) for i in range(len(words) - n + 1)), np.uint64)
+                found.setdefault(n, []).append((keys, len(self.items)))
+                self.items.append((item, words))
+        self.words = set(same)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, parts in found.items():
+            keys = np.concatenate([k for k, _ in parts])
+            order = np.argsort(keys, kind="stable")
+            item = np.repeat(np.array([i for _, i in parts], np.int32), [len(k) for k, _ in parts])
+            start = np.concatenate([np.arange(len(k), dtype=np.int32) for k, _ in parts])
+            self.by_length[n] = (keys[order], item[order], start[order])
 
     @staticmethod
-    def key(gram: tuple[bytes, ...]) -> int:
+    def key(gram: list[bytes]) -> int:
         return xxhash.xxh3_64_intdigest(b" ".join(gram))
 
+    def _holders(self, gram: list[bytes], length: int, at: int) -> tuple[bool, set[str]]:
+        """Whether any n-gram from ``at`` on with this one's hash is this one, word by word, and the items that have it."""
+        keys, item, start = self.by_length[length]
+        hit, holders, key = False, set(), keys[at]
+        while at < len(keys) and keys[at] == key:
+            name, words = self.items[item[at]]
+            if (name is None or name not in holders) and words[start[at] : start[at] + length] == gram:
+                hit = True
+                holders |= {name} if name is not None else set()
+            at += 1
+        return hit, holders
+
     def scan(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Maximal runs [start, stop) of hit words, and the items that hit."""
         runs: list[list[int]] = []
         items: set[str] = set()
         known, at, n = self.words, 0, len(words)
+        seen: dict[tuple[int, int], tuple[bool, set[str], list[bytes]]] = {}
         while at < n:
             if words[at] not in known:
                 at += 1
@@ -58,21 +81,23 @@ class Grams:
             end = at + 1
             while end < n and words[end] in known:
                 end += 1
-            for i in range(at, end):
-                for length, grams in self.by_length.items():
-                    if i + length > end:
-                        continue
-                    gram = tuple(words[i : i + length])
-                    found = grams.get(self.key(gram))
-                    if found is None or gram not in found:  # the second test verifies the hit
-                        continue
-                    items |= found[gram]
-                    if runs and i <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], i + length)
-                    else:
-                        runs.append([i, i + length])
+            for length, (keys, _, _) in self.by_length.items():
+                many = end - at - length + 1
+                if many < 1:
+                    continue
+                mine = np.fromiter((self.key(words[i : i + length]) for i in range(at, at + many)), np.uint64, many)
+                first = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                for i in np.flatnonzero(keys[first] == mine).tolist():
+                    of = (length, int(mine[i]))
+                    gram = words[at + i : at + i + length]
+                    if of not in seen or seen[of][2] != gram:
+                        seen[of] = (*self._holders(gram, length, int(first[i])), gram)
+                    hit, holders, _ = seen[of]
+                    if hit:
+                        items |= holders
+                        runs.append([at + i, at + i + length])
             at = end
-        return runs, items
+        return _merged(runs, []), items
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
@@ -156,9 +181,10 @@ def n_hit() -> F.Column:
     return F.aggregate("hit_runs", F.lit(0).cast("bigint"), lambda n, r: n + r["stop"] - r["start"])
 
 
-def drop_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs without any benchmark passage, columns unchanged."""
-    return mark(docs, benchmark, **options).where(F.size("hit_runs") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs without any benchmark passage, columns unchanged, those named like an added one too."""
+    safe, new = renamed(docs)
+    return restored(mark(safe, benchmark, text_col=new[text_col], **options).where(F.size("hit_runs") == 0), new)
 
 
 def cut_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:

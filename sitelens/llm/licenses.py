@@ -3,18 +3,21 @@
 The index holds short notices of well-known licences.  Per file, the scan takes the licence words that are
 rarest in the corpus (highest inverse document frequency), looks up their places in the notices, and counts
 how often the place in the file less the place in the notice is the same.  A notice whose rare words agree on
-one offset is compared word by word at that offset, and counts only if its mandatory phrases stand in the file.
+one offset, or on offsets close to each other, is compared word by word there, and counts only if its mandatory
+phrases stand in the file.
 
 Document frequencies come from all documents, for the words of the notices only, so the table of them is
 bounded by the notices.  Documents are scanned twice and never shuffled.
 
 Defined cases: a null or empty text has no words and no labels; repeated rows are reported once per row; ties
-between offsets go to the smallest; an empty table gives an empty result.
+between offsets go to the smallest; a very long text is walked once a phrase and notice; other columns, whatever
+their names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -82,6 +85,8 @@ NOTICES = [
 #: The rarest licence words of a file that are looked up, the share of them that must agree on an offset, and
 #: the share of a notice's words that must stand in their places.
 LOOKED_UP, AGREE, COVER = 12, 0.5, 0.7
+#: Words may be inserted, such as a comment mark on each line: offsets within a BAND-th of a notice count together.
+BAND = 6
 
 
 class Index:
@@ -101,13 +106,20 @@ class Index:
         line = b" " + b" ".join(words) + b" "
         starts, labels = [], set()
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, before, n = line.find(phrase), 0, 0
             while at >= 0:
-                starts.append(line.count(b" ", 0, at))
+                n += line.count(b" ", before, at)  # words since the last place
+                before = at
+                starts.append(n)
                 labels.add(label)
                 at = line.find(phrase, at + 1)
         return starts, labels
 
+    @staticmethod
+    def _stands(places: list[int], low: int, high: int) -> bool:
+        at = bisect_left(places, low)
+        return at < len(places) and places[at] <= high
+
     def match(self, words: list[bytes]) -> dict[str, float]:
         """Label -> the share of its best notice's words that stand in their places."""
         here = set(words) & self.postings.keys()
@@ -132,10 +144,18 @@ class Index:
             line = line or b" " + b" ".join(words) + b" "
             if not all(b" " + b" ".join(m) + b" " in line for m in must):
                 continue
-            for offset in sorted(o for o, n in votes.items() if n >= AGREE * len(wanted)):
-                same = sum(0 <= offset + i < len(words) and words[offset + i] == w for i, w in enumerate(notice))
-                if same >= COVER * len(notice):
-                    found[label] = max(found.get(label, 0.0), same / len(notice))
+            band = len(notice) // BAND
+            offsets = sorted(votes)
+            stop, held = 0, 0
+            for at, offset in enumerate(offsets):  # votes of all offsets up to a band further on
+                while stop < len(offsets) and offsets[stop] <= offset + band:
+                    held += votes[offsets[stop]]
+                    stop += 1
+                if held >= AGREE * len(wanted):
+                    same = sum(self._stands(places[w], offset + i, offset + i + band) for i, w in enumerate(notice) if w in places)
+                    if same >= COVER * len(notice):
+                        found[label] = max(found.get(label, 0.0), same / len(notice))
+                held -= votes[offset]
         return found
 
 

@@ -6,6 +6,10 @@ factor of its cell, times a constant, 1 at most, such that the expected number o
 one.  Whether a document is in the sample depends on a hash of its id alone (Poisson sampling), so the sample
 is the same on every run.
 
+The topic is the column of that name; where there is none, it is the kind of text by its surface (table, symbols,
+brief or prose), a stand-in for a classifier.  If targets can't all be met together, raking ends after ITERATIONS
+rounds with a warning that names the largest remaining difference.
+
 Categories that no target names share the cell ``*``, so the number of cells is at most the product of the
 numbers of named categories plus one, however many sources the data has.  Only the cells' sums reach the
 driver; documents are read twice and never shuffled.
@@ -13,15 +17,18 @@ driver; documents are read twice and never shuffled.
 Defined cases: nulls in a dimension count as ``*``; a null or empty text has no tokens and its cell's
 probability; a target that no document can meet is left out and the others are scaled up; ``*`` without a
 target keeps the share it has; ids that many rows share are sampled together; an empty table gives an empty
-result; input columns named like an added one are replaced.
+result; in weigh() input columns named like an added one are replaced, in sample() they stay; a very long text is
+one row like any other, and only counted.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, without
+from .common import SPACE, renamed, restored, without
 
 OTHER = "*"
 DIMS = ("source", "lang", "topic")
@@ -81,7 +88,8 @@ def rake(cells: dict[tuple, float], targets: list[dict[str, float]]) -> dict[tup
             off = max([off, *(abs(have[k] - share[k]) for k in share)])
             weights = {c: w * share[c[d]] / have[c[d]] if have[c[d]] else 0.0 for c, w in weights.items()}
         if off < TOLERANCE:
-            break
+            return weights
+    warnings.warn(f"raking stopped after {ITERATIONS} rounds; a share is still off by {off:.2g}", stacklevel=2)
     return weights
 
 
@@ -107,13 +115,15 @@ def weigh(
     share: float = 0.6,
     id_col: str = "doc_id",
     text_col: str = "text",
+    dim_cols: dict[str, str] | None = None,
 ) -> DataFrame:
     """docs with their cell, n_tokens, weight, probability, u and selected; share: of the tokens, to be sampled."""
     spark = docs.sparkSession
     base = without(docs, ADDED)
-    names = {c.lower(): c for c in base.columns}
-    tokens = n_tokens(F.col(text_col))
-    kinds = {"topic": topic_of(F.col(text_col), tokens)} | {d: F.col(f"`{names[d]}`") for d in DIMS[:2] if d in names}
+    names = {c.lower(): c for c in base.columns} if dim_cols is None else dim_cols
+    text = F.col(f"`{text_col}`")
+    tokens = n_tokens(text)
+    kinds = {"topic": topic_of(text, tokens)} | {d: F.col(f"`{names[d]}`") for d in DIMS if d in names}
     out = base.withColumn("n_tokens", tokens)
     for d in DIMS:
         value = kinds.get(d, F.lit(None).cast("string")).cast("string")
@@ -129,7 +139,7 @@ def weigh(
     )
     return (
         out.join(F.broadcast(plan), keys, "left")
-        .withColumn("u", unit(F.col(id_col)))
+        .withColumn("u", unit(F.col(f"`{id_col}`")))
         .withColumn("selected", F.col("u") < F.col("probability"))
     )
 
@@ -140,5 +150,8 @@ def report(docs: DataFrame, **options) -> DataFrame:
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
-    """The sampled rows of docs, columns unchanged."""
-    return weigh(docs, **options).where("selected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The sampled rows of docs, columns unchanged, those named like an added one too."""
+    safe, new = renamed(docs)
+    dims = {c.lower(): n for c, n in new.items() if c.lower() in DIMS}
+    options = {"id_col": new[options.pop("id_col", "doc_id")], "text_col": new[options.pop("text_col", "text")], "dim_cols": dims} | options
+    return restored(weigh(safe, **options).where("selected"), new)

@@ -95,7 +95,7 @@ def votes() -> dict[str, Column]:
         "symbols": rule(F.col("n_symbols") * 20 < n, F.col("n_symbols") * 4 > n),
         "lines": rule(F.col("n_dup_lines") * 20 <= F.col("n_lines"), F.col("n_dup_lines") * 10 > 3 * F.col("n_lines")),
         "repeats": rule(F.col("n_repeat_words") * 20 <= n, F.col("n_repeat_words") * 10 > 2 * n),
-        "variety": rule((n >= 50) & (F.col("n_distinct") * 10 >= 2 * n), (n >= 50) & (n < 5000) & (F.col("n_distinct") * 20 < n)),
+        "variety": rule(F.col("n_distinct") * F.col("n_distinct") >= 16 * n, (n >= 50) & (F.col("n_distinct") * F.col("n_distinct") < n)),
         "letters": rule(F.col("n_letters") * 10 >= 8 * F.col("word_chars"), F.col("n_letters") * 10 < 6 * F.col("word_chars")),
         "stops": rule(F.col("n_stops") * 100 >= n, (n >= 100) & (F.col("n_stops") == 0)),
     }
@@ -116,7 +116,7 @@ def estimate(patterns: dict[tuple[int, ...], int], n_rules: int) -> tuple[float,
                     right[r] += n * (p if v > 0 else 1 - p)
                     cast[r] += n
         new = [min(MOST, max(LEAST, a / b)) for a, b in zip(right, cast, strict=True)]
-        share = min(MOST, max(LEAST, good / (total + extra)))
+        share = min(MOST, max(1 - MOST, good / (total + extra)))
         done = abs(share - prior) + sum(abs(a - b) for a, b in zip(new, accuracy, strict=True)) < 1e-10
         prior, accuracy = share, new
         if done:

@@ -23,7 +23,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pin, without
+from .common import pin, renamed, restored
 
 N_SHARDS, VNODES = 8, 64
 #: Places on the ring at which a virtual node may stand.
@@ -75,20 +75,21 @@ def plan(counts: list[int], nodes: list[tuple[int, int]], n_shards: int) -> list
     return pieces
 
 
-def assign(docs: DataFrame, n_shards: int = N_SHARDS, vnodes: int = VNODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: its id, size, text_crc32, shard and slot (gapless from 0 in each shard)."""
+def assign(docs: DataFrame, n_shards: int = N_SHARDS, vnodes: int = VNODES, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row a document: its id, size, text_crc32, shard, slot (gapless from 0 in each shard), and the row_col asked for."""
     spark = docs.sparkSession
     nodes = ring(n_shards, vnodes)
     places = [p for p, _ in nodes]
     arcs = ",".join(str(bisect_left(places, at) % len(nodes)) for at in range(RING))
     arc_at = F.split(F.lit(arcs), ",").cast("array<int>")
-    raw = F.coalesce(F.encode(F.col(text_col), "utf-8"), F.lit(b""))
+    raw = F.coalesce(F.encode(F.col(f"`{text_col}`"), "utf-8"), F.lit(b""))
     rows = (
         docs.select(
-            F.col(id_col).alias("doc_id"),
+            F.col(f"`{id_col}`").alias("doc_id"),
             (F.length(raw).cast("bigint") + 1).alias("size"),
             F.crc32(raw).alias("text_crc32"),
-            place(F.col(id_col)).alias("h"),
+            place(F.col(f"`{id_col}`")).alias("h"),
+            *([F.col(row_col)] if row_col else []),
         )
         # an arc that wraps round the ring takes the places after the last virtual node first, by rank of h
         .withColumn("arc", F.element_at(arc_at, F.shiftright("h", 39).cast("int") + 1))
@@ -117,7 +118,7 @@ def assign(docs: DataFrame, n_shards: int = N_SHARDS, vnodes: int = VNODES, id_c
         .withColumn("rank", rank)
         .join(F.broadcast(pieces_df), "arc")  # a piece for each shard that an arc was dealt to, one as a rule
         .where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("slot0") + F.col("rank") - F.col("lo")).alias("slot"), *([row_col] if row_col else []))
     )
 
 
@@ -128,8 +129,16 @@ def report(docs: DataFrame, n_shards: int = N_SHARDS, vnodes: int = VNODES) -> D
     )
 
 
+def place_documents(docs: DataFrame, n_shards: int = N_SHARDS, vnodes: int = VNODES) -> DataFrame:
+    """docs with shard and slot; rows are told apart by a number of their own, so repeated and null ids are no matter."""
+    safe, new = renamed(docs)
+    numbered = pin(safe.withColumn("row", F.monotonically_increasing_id()), "shards-input")
+    shards = assign(numbered, n_shards, vnodes, new["doc_id"], new["text"], "row").select("row", "shard", "slot")
+    kept = {c: n for c, n in new.items() if c.lower() not in ("shard", "slot")}
+    return restored(numbered.join(shards, "row"), kept, ["shard", "slot"])
+
+
 def write(docs: DataFrame, path: str, n_shards: int = N_SHARDS, vnodes: int = VNODES) -> None:
-    """The documents as Parquet, a folder a shard; ids should be distinct, as shards join to texts by id."""
-    shards = assign(docs, n_shards, vnodes).select("doc_id", "shard", "slot")
-    out = without(docs, ["shard", "slot"]).join(shards, "doc_id")
-    out.repartition("shard", F.col("slot") % 64).write.partitionBy("shard").parquet(path)
+    """The documents as Parquet, a folder a shard."""
+    placed = place_documents(docs, n_shards, vnodes)
+    placed.repartition("shard", F.col("slot") % 64).write.partitionBy("shard").parquet(path)

@@ -4,14 +4,16 @@ A text's features are its distinct words, hashed into ``n_buckets``.  The machin
 inner products of the latent factors of every two terms that occur together, so that a pair such as an insult
 and a group's name can weigh more (or less) than its members.
 
-Fitting uses a bounded sample: at most about ``max_rows`` labelled rows, chosen by a hash of their id, and the
-``n_terms`` buckets that a chi-squared test over that sample separates best.  Both bounds are parameters, so
-the driver holds at most max_rows * n_terms indices.  Scoring reads every whole text once, without a shuffle.
+Fitting uses a bounded sample: at most about ``max_rows`` labelled rows, chosen by a hash of their id.  Terms
+that a chi-squared test over that sample finds to differ in toxic rows are learned, alone and in pairs, without a bound
+on their number; the words of a pair that is toxic only together are among them, as each is then more frequent in toxic
+rows than elsewhere.  Scoring reads every whole text once, without a shuffle.
 
 Defined cases: a null or empty text has no terms and gets the score of the bias alone; rows without a label
 are not learned from; a label table with repeated or conflicting rows counts by the mean (1 from 0.5 on); if
-no labelled row can be learned from, every score is ``prior``; repeated rows score alike; input columns named
-like an added one are replaced.
+no labelled row can be learned from, every score is ``prior``; repeated rows score alike; a very long text is
+one set of terms; in score() input columns named like an added one are replaced, in drop_toxic() they stay; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, as_bytes, bucket_of, pin, unpin, without
+from .common import alnum_words, as_bytes, bucket_of, pin, renamed, restored, unpin, without
 
 ADDED = ["toxicity", "is_toxic"]
 
@@ -34,10 +36,13 @@ ADDED = ["toxicity", "is_toxic"]
 class Settings:
     n_buckets: int = 1 << 20
     max_rows: int = 16_384
-    n_terms: int = 1_024
+    #: Terms of so many rows are learned whose share of toxic rows differs from the mean with p < 0.001, however many there are.
     min_rows: int = 5
+    min_gain: float = 10.83
     rank: int = 4
-    epochs: int = 30
+    #: Passes over the rows; more where there are few, for so many steps at least.
+    epochs: int = 20
+    min_steps: int = 600
     batch: int = 128
     rate: float = 0.02
     #: Variance of the Gaussian prior of every weight; the more rows, the less it holds them back.
@@ -74,34 +79,42 @@ class Machine:
 
 
 def fit_rows(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, s: Settings) -> Machine:
-    """Adam on the logistic loss; rows hold indices into terms."""
+    """Adam on the logistic loss over the terms that a batch has; rows hold indices into terms."""
     n, k = len(terms), s.rank
     rng = np.random.default_rng(s.seed)
-    p = {"b": np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))]), "w": np.zeros(n), "v": rng.normal(0, 0.01, (n, k))}
-    m = {a: np.zeros_like(x) for a, x in p.items()}
-    u = {a: np.zeros_like(x) for a, x in p.items()}
-    step, decay = 0, 1 / (s.variance * max(1, len(rows)))
-    for _ in range(s.epochs):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), s.batch):
-            ids = order[at : at + s.batch]
-            x = np.zeros((len(ids), n))
-            for r, i in enumerate(ids):
-                x[r, rows[i]] = 1
-            xv = x @ p["v"]
-            z = p["b"] + x @ p["w"] + 0.5 * ((xv**2).sum(axis=1) - x @ (p["v"] ** 2).sum(axis=1))
+    bias, w, v = np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))]), np.zeros(n), rng.normal(0, 0.01, (n, k))
+    state = {name: (np.zeros_like(x), np.zeros_like(x)) for name, x in (("b", bias), ("w", w), ("v", v))}
+    full = [i for i in range(len(rows)) if len(rows[i])]
+    batches = max(1, -(-len(full) // s.batch))
+    # a rare term is in few batches and is held back more in each
+    seen = np.bincount(np.concatenate([rows[i] for i in full]), minlength=n) if full else np.zeros(n)
+    decay = batches / np.clip(seen, 1, batches) / (s.variance * max(1, len(rows)))
+    step = 0
+
+    def update(name: str, x: np.ndarray, at, grad: np.ndarray) -> None:
+        m, u = state[name]
+        m[at] = 0.9 * m[at] + 0.1 * grad
+        u[at] = 0.999 * u[at] + 0.001 * grad**2
+        x[at] -= s.rate * (m[at] / (1 - 0.9**step)) / (np.sqrt(u[at] / (1 - 0.999**step)) + 1e-8)
+
+    for _ in range(max(s.epochs, -(-s.min_steps // batches)) if full else 0):
+        order = rng.permutation(len(full))
+        for start in range(0, len(order), s.batch):
+            ids = [full[i] for i in order[start : start + s.batch]]
+            sizes = np.array([len(rows[i]) for i in ids])
+            at = np.concatenate([rows[i] for i in ids])
+            of, first = np.repeat(np.arange(len(ids)), sizes), np.cumsum(sizes) - sizes
+            each = v[at]
+            both = np.add.reduceat(each, first)
+            z = bias + np.add.reduceat(w[at], first) + 0.5 * ((both**2).sum(axis=1) - np.add.reduceat((each**2).sum(axis=1), first))
             g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[ids]) / len(ids)
-            grad = {
-                "b": np.array([g.sum()]),
-                "w": x.T @ g + decay * p["w"],
-                "v": x.T @ (g[:, None] * xv) - (x.T @ g)[:, None] * p["v"] + decay * p["v"],
-            }
+            used, slot = np.unique(at, return_inverse=True)
+            pull = g[of, None] * (both[of] - each)
             step += 1
-            for a, x_ in grad.items():
-                m[a] = 0.9 * m[a] + 0.1 * x_
-                u[a] = 0.999 * u[a] + 0.001 * x_**2
-                p[a] = p[a] - s.rate * (m[a] / (1 - 0.9**step)) / (np.sqrt(u[a] / (1 - 0.999**step)) + 1e-8)
-    return Machine(terms, float(p["b"][0]), p["w"], p["v"], s.n_buckets)
+            update("b", bias, slice(None), np.array([g.sum()]))
+            update("w", w, used, np.bincount(slot, g[of]) + decay[used] * w[used])
+            update("v", v, used, np.stack([np.bincount(slot, pull[:, c]) for c in range(k)], axis=1) + decay[used, None] * v[used])
+    return Machine(terms, float(bias[0]), w, v, s.n_buckets)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings = Settings()) -> Machine:
@@ -130,24 +143,34 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings =
         return Machine(np.zeros(0, np.int64), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, s.rank)), s.n_buckets)
     rate = total.pos / total.n
     expected = F.col("n") * F.lit(rate)
-    top = (
+    found = (
         sample.select("toxic", F.explode("terms").alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"))
         .where(F.col("n") >= min(s.min_rows, max(1, total.n // 20)))
-        .withColumn("gain", F.pow(F.col("pos") - expected, 2) / (expected * (1 - rate)))
-        .orderBy(F.desc("gain"), "term")
-        .limit(s.n_terms)
+        .where(F.pow(F.col("pos") - expected, 2) >= s.min_gain * expected * (1 - rate))
         .select("term")
         .collect()
     )
-    terms = np.array(sorted(r.term for r in top), np.int64)
-    kept = sample.select(
-        "toxic", F.array_intersect("terms", F.lit([int(t) for t in terms]).cast("array<bigint>")).alias("terms")
-    ).collect()
+    terms = np.array(sorted(r.term for r in found), np.int64)
+    held = docs.sparkSession.sparkContext.broadcast(terms)
+    kept = sample.mapInArrow(_places(held), "toxic int, terms array<bigint>").collect()
     kept.sort(key=lambda r: (r.toxic, r.terms))  # the order rows arrive in must not decide the model
     unpin(sample)
-    return fit_rows([np.searchsorted(terms, r.terms) for r in kept], np.array([r.toxic for r in kept], float), terms, s)
+    held.destroy()
+    return fit_rows([np.array(r.terms, np.int64) for r in kept], np.array([r.toxic for r in kept], float), terms, s)
+
+
+def _places(held):
+    """toxic, and the places of a row's terms among the chosen ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = held.value
+        for batch in batches:
+            at = [np.flatnonzero(np.isin(terms, x)) for x in batch.column("terms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(at, pa.list_(pa.int64()))], names=["toxic", "terms"])
+
+    return run
 
 
 def _featurize(n_buckets: int):
@@ -191,6 +214,7 @@ def report(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of docs that the machine does not reject, columns unchanged."""
+    """The rows of docs that the machine does not reject, columns unchanged, those named like an added one too."""
     machine = fit(docs, labels, ~held_out(), settings)
-    return score(docs, machine).where(~F.col("is_toxic")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    safe, new = renamed(docs)
+    return restored(score(safe, machine, new["text"]).where(~F.col("is_toxic")), new)
