@@ -363,11 +363,15 @@ def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
     return postings.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
-def _in_many(postings: DataFrame) -> DataFrame:
-    """The postings of tokens that several components share, with the token's largest component as top."""
+def _in_many(postings: DataFrame, spare: list[DataFrame]) -> DataFrame:
+    """The postings of tokens that several components share, with the token's largest component as top.
+
+    What is counted is written before it is joined, and noted in spare: the parts of a skewed join are split only where both sides come from a shuffle.
+    """
     sizes = postings.groupBy("token", "comp").agg(F.count("*").alias("k"))
     shared = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    return postings.join(shared.select("token", "top"), "token")
+    spare.append(pin(shared.select("token", "top"), "jaccard-top"))
+    return postings.join(spare[-1], "token")
 
 
 def _postings(prefixes: DataFrame) -> DataFrame:
@@ -383,15 +387,15 @@ def _postings(prefixes: DataFrame) -> DataFrame:
     return pin(few.unionByName(many), "jaccard-postings")
 
 
-def _star_pairs(postings: DataFrame, labels: DataFrame | None, k: int) -> DataFrame:
+def _star_pairs(postings: DataFrame, labels: DataFrame | None, k: int, spare: list[DataFrame]) -> DataFrame:
     """(a, b): for every token, one class and the others of its component or outside it."""
     of = _labelled(postings, labels)
     centre = F.struct("i", F.xxhash64("cid", F.lit(k)).alias("h"), F.col("cid").alias("a"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("ca"))
     if labels is not None:
-        of = _in_many(of)
+        of = _in_many(of, spare)
     inside = of if labels is None else of.where("comp = top")
-    centres = inside.groupBy("token").agg(F.min(centre).alias("c")).select("token", "c.a", "c.nb", "c.ib", "c.ca")
-    return of.join(centres, "token").where("comp <> ca").where(_fits()).select("a", F.col("cid").alias("b")).distinct()
+    spare.append(pin(inside.groupBy("token").agg(F.min(centre).alias("c")).select("token", "c.a", "c.nb", "c.ib", "c.ca"), "jaccard-centres"))
+    return of.join(spare[-1], "token").where("comp <> ca").where(_fits()).select("a", F.col("cid").alias("b")).distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -409,21 +413,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tup
     postings = _postings(prefixes)
     orders = prefixes.select("cid", "second", "third")
 
-    links, labels = [], None
+    links, labels, spare = [], None, []
     for k in range(STAR_ROUNDS):
-        links.append(_verify(_star_pairs(postings, labels, k), orders, reps))
+        links.append(_verify(_star_pairs(postings, labels, k, spare), orders, reps))
         found = _components(links)
         if labels is not None:
             unpin(labels)
         labels = found
 
-    of = _in_many(_labelled(postings, labels))
+    of = _in_many(_labelled(postings, labels), spare)
     others = of.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
     pairs = of.where("comp <> top").join(others, "token").where("comp <> cb AND (cb = top OR cid < b)").where(_fits())
     links.append(_verify(pairs.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct(), orders, reps))
     final = _components(links)
     classes = pin(reps.select("key", "cid").join(final, "cid", "left").select("key", F.coalesce("comp", "cid").alias("comp")), "jaccard-classes")
-    unpin(reps, prefixes, postings, final, *links, *([labels] if labels is not None else []))
+    unpin(reps, prefixes, postings, final, *spare, *links, *([labels] if labels is not None else []))
     held.destroy()
     return rows, classes
 

@@ -317,14 +317,14 @@ def _split(spans: DataFrame) -> list[DataFrame]:
     while not hot.isEmpty():
         halves = pin(hot.mapInArrow(_halves, kinds), "suffix-halves")
         same = pin(halves.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min("data").alias("data")), "suffix-halves-once")
-        sizes = same.groupBy("gram").agg(F.count("*").alias("kinds"))
+        sizes = pin(same.groupBy("gram").agg(F.count("*").alias("kinds")), "suffix-sizes")
         whole = same.where("n > 1").select("gram", "span", F.lit(0).alias("from"), (F.length("data") - LENGTH).alias("to"))
         few = same.join(sizes.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT)), "gram")
         partly = _by_arrays(few).select("gram", "span", F.col("low").alias("from"), F.col("high").alias("to")).join(same.where("n > 1"), ["gram", "span"], "left_anti")
         runs = halves.join(whole.unionByName(partly), ["gram", "span"])
         out.append(pin(runs.select(F.col("home").alias("gram"), F.col("home_span").alias("span"), (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high")), "suffix-runs"))
         rest = pin(halves.join(sizes.where(F.col("kinds") > HOT), "gram").select(*pieces.columns), "suffix-hot")
-        unpin(halves, same, *([hot] if hot is not pieces else []))
+        unpin(halves, same, sizes, *([hot] if hot is not pieces else []))
         hot = rest
     return out
 
@@ -332,11 +332,12 @@ def _split(spans: DataFrame) -> list[DataFrame]:
 def repeats(texts: DataFrame) -> DataFrame:
     """(tid, runs): the runs of windows [first, last] that repeat, of every text (tid, z) that has any; texts differ."""
     every = pin(texts.select("tid", "z").mapInArrow(_all_anchors, "gram bigint, span bigint, tid bigint, first int, more smallint, back smallint"), "suffix-anchors")
-    twice = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # counts are written before they are joined: the parts of a skewed join are split only where both sides come from a shuffle
+    twice = pin(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "suffix-twice")
     found = pin(every.join(twice, "gram"), "suffix-found")
-    unpin(every)
+    unpin(every, twice)
     kinds = pin(found.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("tid", "first", "more", "back")).alias("at")), "suffix-kinds")
-    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = pin(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "suffix-several")
     at = F.struct("gram", "span", "kinds", F.col("at.first").alias("first"), F.col("at.more").alias("more"), F.col("at.back").alias("back"))
     want = kinds.join(several, "gram").groupBy("at.tid").agg(F.collect_list(at).alias("want"))
     spans = pin(
@@ -356,7 +357,7 @@ def repeats(texts: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_list("run")).alias("runs")),
         "suffix-repeats",
     )
-    unpin(found, kinds, spans, *parts)
+    unpin(found, kinds, several, spans, *parts)
     return out
 
 
