@@ -1,7 +1,8 @@
 """A page as a column of its nodes: parsed once, then every check is a Spark expression over the array.
 
 Void elements close at once, an end tag closes back to its nearest open match or is ignored, and no end tags are
-implied.  Names are lower-cased and entities decoded.  Text in script, style and template is not page text.
+implied.  Names are lower-cased and entities decoded.  Text in script, style and template is not page text; that of
+script and style elements is kept with them as it stands.  ``scope`` is the nearest element around with itemscope.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import jsonld
+
 # Element names of the HTML standard and those whose text is not visible.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 NO_TEXT = {"script", "style", "template"}
@@ -20,8 +23,8 @@ HIDDEN = {"script", "style", "nav", "footer", "aside", "header", "noscript", "te
 WITH_TEXT = {"title", "h1", "h2", "h3", "h4", "h5", "h6", "a", "p", "li", "button", "label", "time", "option"}
 
 SCHEMA = (
-    "struct<nodes:array<struct<i:int,parent:int,depth:int,tag:string,attrs:map<string,string>,text:string,anc:array<string>>>,"
-    "visible:string,doctype:string>"
+    "struct<nodes:array<struct<i:int,parent:int,depth:int,tag:string,attrs:map<string,string>,text:string,anc:array<string>,scope:int>>,"
+    f"visible:string,full:string,doctype:string,product:{jsonld.SCHEMA}>"
 )
 
 
@@ -32,6 +35,9 @@ class _Page(HTMLParser):
         self.open: list[int] = []
         self.texts: dict[int, list[str]] = {}
         self.visible: list[str] = []
+        self.full: list[str] = []
+        self.raw: dict[int, list[str]] = {}
+        self.scopes: list[int] = []
         self.doctype = None
 
     def handle_decl(self, decl):
@@ -49,30 +55,44 @@ class _Page(HTMLParser):
                 "attrs": {k: v or "" for k, v in attrs},
                 "text": None,
                 "anc": [self.nodes[k]["tag"] for k in self.open],
+                "scope": self.scopes[-1] if self.scopes else None,
             }
         )
-        if tag in WITH_TEXT:
+        has = self.nodes[at]["attrs"]
+        if tag in WITH_TEXT or "itemprop" in has:
             self.texts[at] = []
+        if tag in ("script", "style"):
+            self.raw[at] = []
         if tag not in VOID:
             self.open.append(at)
+            if "itemscope" in has:
+                self.scopes.append(at)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
         for k in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[k]]["tag"] == tag:
-                del self.open[k:]
+                self._close(k)
                 return
 
+    def _close(self, k):
+        del self.open[k:]
+        while self.scopes and self.scopes[-1] not in self.open:
+            self.scopes.pop()
+
     def handle_data(self, data):
+        if self.open and self.open[-1] in self.raw:
+            self.raw[self.open[-1]].append(data)
         part = data.strip()
         if not part:
             return
         tags = {self.nodes[k]["tag"] for k in self.open}
         if not tags & NO_TEXT:
+            self.full.append(part)
             for k in self.open:
                 if k in self.texts:
                     self.texts[k].append(part)
@@ -88,12 +108,18 @@ def parse(html: str | None) -> dict | None:
     page.close()
     for k, parts in page.texts.items():
         page.nodes[k]["text"] = " ".join(parts)
-    return {"nodes": page.nodes, "visible": " ".join(page.visible), "doctype": page.doctype}
+    for k, parts in page.raw.items():
+        page.nodes[k]["text"] = "".join(parts)
+    blocks = [n["text"] for n in page.nodes if n["tag"] == "script" and n["attrs"].get("type") == "application/ld+json"]
+    return {
+        "nodes": page.nodes, "visible": " ".join(page.visible), "full": " ".join(page.full), "doctype": page.doctype,
+        "product": jsonld.product(blocks) if blocks else None,
+    }
 
 
 def _parsed(html: pd.Series) -> pd.DataFrame:
-    rows = [parse(h) or {"nodes": None, "visible": None, "doctype": None} for h in html]
-    return pd.DataFrame(rows, columns=["nodes", "visible", "doctype"])
+    rows = [parse(h) or {"nodes": None, "visible": None, "full": None, "doctype": None, "product": None} for h in html]
+    return pd.DataFrame(rows, columns=["nodes", "visible", "full", "doctype", "product"])
 
 
 def parse_dom(html: Column) -> Column:
@@ -116,3 +142,17 @@ def meta(nodes: Column, name: str, key: str = "name") -> Column:
     """The content of the first meta element of that name, whatever its case."""
     found = F.filter(by_tag(nodes, "meta"), lambda n: F.lower(n["attrs"][key]) == name)
     return F.get(found, F.lit(0))["attrs"]["content"]
+
+
+def has_token(value: Column, token: str) -> Column:
+    """Whether a list of words in an attribute, such as rel or class, has this one."""
+    return F.array_contains(F.split(F.coalesce(value, F.lit("")), r"\s+"), token)
+
+
+def within(n: Column, *tags: str) -> Column:
+    """How many elements of these names are around a node."""
+    return F.size(F.filter(n["anc"], lambda a: a.isin(*tags)))
+
+
+def sum_of(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, b: a + b)

@@ -15,6 +15,8 @@ STOPWORDS = (
 ).split()
 # Price forms, tried in this order.
 PRICES = [r"\d[\d\s]*[.,]\d{2}\s*(?:DT|TND|\$)", r"(?:DT|TND|€|\$)\s*\d[\d\s]*[.,]?\d*", r"\d+[.,]?\d*\s*(?:DT|TND|€|\$)"]
+# Endings of file names that look like addresses.
+NOT_EMAIL = [".png", ".jpg", ".gif", ".svg", ".css", ".js"]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 # The search intents' words, by strength.
 INTENTS = {
@@ -107,3 +109,69 @@ def price_matches(text: Column) -> Column:
 
 def first_price(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in PRICES])
+
+
+def emails(text: Column) -> Column:
+    """The distinct e-mail addresses in a text, in order, without names of files."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), F.lit(0)))
+    return F.filter(found, lambda e: ~F.lower(e).rlike("|".join(x.replace(".", r"\.") for x in NOT_EMAIL)))
+
+
+def collapsed(text: Column) -> Column:
+    """White space run together and trimmed."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def flesch(text: Column) -> Column:
+    """n_words, n_sentences, score (null under 100 words or 3 sentences), band, grade and averages, as a struct."""
+    value = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(value, F.lit(r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"), F.lit(0))
+    sentences = F.size(F.filter(F.split(value, r"[.!?]+"), lambda s: F.trim(s) != ""))
+    beats = F.aggregate(F.transform(found, lambda w: syllables(w).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    made = F.struct(F.size(found).alias("w"), sentences.alias("s"), beats.alias("b"))
+
+    def scored(x: Column) -> Column:
+        enough = (x["w"] >= 100) & (x["s"] >= 3)
+        long, heavy = x["w"] / x["s"], x["b"] / x["w"]
+        score = F.when(enough, F.round(206.835 - 1.015 * long - 84.6 * heavy, 2))
+        band = (
+            F.when(score >= 90, "very_easy").when(score >= 70, "easy").when(score >= 60, "plain").when(score >= 50, "fairly_difficult")
+            .when(score >= 30, "difficult").when(score.isNotNull(), "very_difficult")
+        )
+        return F.struct(
+            x["w"].alias("n_words"), x["s"].alias("n_sentences"), score.alias("score"), band.alias("band"),
+            F.when(enough, F.round(0.39 * long + 11.8 * heavy - 15.59, 2)).alias("grade"),
+            F.when(enough, F.round(long, 2)).alias("sentence_length"), F.when(enough, F.round(heavy, 2)).alias("syllables_per_word"),
+        )
+
+    return F.element_at(F.transform(F.array(made), scored), 1)
+
+
+def text_html_ratio(text: Column, html: Column) -> Column:
+    """percent and status, as a struct."""
+    percent = F.when(F.length(html) == 0, 0.0).otherwise(F.round(F.length(text) / F.length(html) * 100, 2))
+    return F.struct(percent.alias("percent"), F.when(percent < 15, "low_ratio").when(percent > 70, "high_ratio").otherwise("calculated").alias("status"))
+
+
+def passive_ratio(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    tokens = F.size(F.filter(F.split(low, r"\s+"), lambda x: x != ""))
+    return F.round(F.regexp_count(low, F.lit(r"\b(was|were|be|been|being)\b\s+\b(\w+ed)\b")) / F.greatest(F.lit(1), tokens), 3)
+
+
+def minification(content: Column) -> Column:
+    """Whether a script or style sheet looks minified, and what tells so, as a struct."""
+    lines = F.size(F.split(F.regexp_replace(content, r"\r?\n$", ""), r"\r\n|\r|\n"))
+    chars = F.length(content)
+    blank = F.regexp_count(content, F.lit(r"\s")) / chars
+    long = chars / lines
+    tight = ((lines == 1) & (chars > 500)) | ((lines > 1) & ((blank < 0.15) | (long > 200)))
+    none = F.coalesce(content, F.lit("")) == ""
+    zero = F.lit(0.0)
+    return F.struct(
+        F.when(none, False).otherwise(tight).alias("is_minified"),
+        F.when(none, zero).otherwise(F.round(blank, 3)).alias("whitespace_ratio"),
+        F.when(none, zero).otherwise(F.round(long, 1)).alias("avg_line_length"),
+        F.when(none, 0).otherwise(lines).alias("line_count"),
+        F.coalesce(chars, F.lit(0)).alias("char_count"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dom, text, urls
+from ..functions import text
 
 # Pixel widths of characters, and marketing words.
 CHAR_PX = {
@@ -21,8 +21,6 @@ CTA_PHRASES = [
     "learn more", "read more", "buy now", "shop now", "get started", "try now", "sign up", "contact us", "book now", "download", "discover",
     "find out", "see how", "start now", "join now", "request a quote", "subscribe",
 ]
-GENERIC_ANCHORS = ["click here", "read more", "learn more", "here", "more", "link", "this"]
-
 
 def pixels(value: Column) -> Column:
     """The estimated width; one count for each width keeps it inside generated code."""
@@ -30,153 +28,23 @@ def pixels(value: Column) -> Column:
     for ch, px in CHAR_PX.items():
         by_width[px] = by_width.get(px, "") + ch
     known = "".join(CHAR_PX)
-    upper = "".join(c.upper() for c in "ilj tfrszaceoukvxy" if c.upper() not in CHAR_PX)
-    out = (F.length(value) - F.regexp_count(value, F.lit(f"[{known}{upper}]"))) * 9
+    out = (F.length(value) - F.regexp_count(value, F.lit(f"[{known}]"))) * 9
     for px, chars in by_width.items():
         out = out + F.regexp_count(value, F.lit(f"[{chars}]")) * px
     return out
 
 
-def _any(value: Column, phrases: list[str]) -> Column:
-    return F.lower(F.coalesce(value, F.lit(""))).rlike("|".join(phrases))
-
-
-def titles(pages: DataFrame, least: int = 30, most: int = 60) -> DataFrame:
-    title = F.coalesce(dom.first_text(F.col("nodes"), "title"), F.lit(""))
-    n = F.length("title")
-    return pages.select("page_id", title.alias("title"), dom.count_of(F.col("nodes"), "title").alias("n_titles")).select(
-        "page_id",
-        "title",
-        "n_titles",
-        n.alias("title_length"),
-        F.when(n == 0, "missing").when(n < least, "short").when(n > most, "long").otherwise("good").alias("title_status"),
-        pixels(F.col("title")).alias("title_pixels"),
-        _any(F.col("title"), POWER_WORDS).alias("has_power_words"),
-    )
-
-
 def tag_counts(pages: DataFrame) -> DataFrame:
     return (
         pages.select("page_id", F.explode("nodes.tag").alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
     )
 
 
-def headings(pages: DataFrame) -> DataFrame:
-    nodes = F.col("nodes")
-    counts = [dom.count_of(nodes, f"h{k}").alias(f"n_h{k}") for k in range(1, 7)]
-    out = pages.select("page_id", dom.first_text(nodes, "h1").alias("first_h1"), *counts)
-    used = F.filter(F.array(*[F.when(F.col(f"n_h{k}") > 0, k) for k in range(1, 7)]), lambda x: x.isNotNull())
-    gaps = F.exists(F.transform(F.sequence(F.lit(1), F.greatest(F.size(used) - 1, F.lit(1))), lambda i: F.get(used, i) - F.get(used, i - 1)), lambda g: g > 1)
-    return out.withColumn("hierarchy_ok", ~F.coalesce(gaps, F.lit(False)))
-
-
-def links(pages: DataFrame) -> DataFrame:
-    """One row a link: page_id, href, anchor, resolved, internal, generic."""
-    out = pages.select("page_id", "url", F.explode(dom.by_tag(F.col("nodes"), "a")).alias("a")).select(
-        "page_id", "url", F.col("a.attrs")["href"].alias("href"), F.col("a.text").alias("anchor"), F.col("a.attrs")["rel"].alias("rel")
-    )
-    out = out.where((F.col("href") != "") & ~F.col("href").rlike("^(#|mailto:|tel:|javascript:)"))
-    base = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", 0)
-    resolved = (
-        F.when(F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("href"))
-        .when(F.col("href").startswith("//"), F.concat(urls.scheme(F.col("url")), F.lit(":"), F.col("href")))
-        .when(F.col("href").startswith("/"), F.concat(base, F.col("href")))
-        .otherwise(F.concat(base, F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(urls.path(F.col("url")), "^/", "")), "[^/]*$", ""), F.col("href")))
-    )
-    return out.withColumn("resolved", resolved).select(
-        "page_id",
-        "href",
-        "anchor",
-        "resolved",
-        (urls.host(F.col("resolved")) == urls.host(F.col("url"))).alias("internal"),
-        F.lower("anchor").isin(*GENERIC_ANCHORS).alias("generic"),
-        F.coalesce(F.contains(F.lower("rel"), F.lit("nofollow")), F.lit(False)).alias("nofollow"),
-    )
-
-
-def link_stats(pages: DataFrame) -> DataFrame:
-    return links(pages).groupBy("page_id").agg(
-        F.count("*").alias("n_links"),
-        F.count_if("internal").alias("n_internal"),
-        F.count_if("generic").alias("n_generic"),
-        F.sum(F.length("anchor")).alias("anchor_chars"),
-    )
-
-
-def content_stats(pages: DataFrame) -> DataFrame:
-    n = F.regexp_count(F.col("visible"), F.lit(r"[\p{L}\p{N}_]+"))
-    return pages.select(
-        "page_id",
-        n.alias("n_words"),
-        (n >= 300).alias("long_enough"),
-        dom.count_of(F.col("nodes"), "p").alias("n_paragraphs"),
-        F.contains(F.lower("visible"), F.lit("lorem ipsum")).alias("lorem_ipsum"),
-        _any(F.col("visible"), CTA_PHRASES).alias("has_cta"),
-    )
-
-
-def technical(pages: DataFrame) -> DataFrame:
-    nodes = F.col("nodes")
-    root = F.get(dom.by_tag(nodes, "html"), F.lit(0))["attrs"]
-    charset = F.get(F.filter(dom.by_tag(nodes, "meta"), lambda n: F.map_contains_key(n["attrs"], "charset")), F.lit(0))["attrs"]["charset"]
-    canonical = F.get(F.filter(dom.by_tag(nodes, "link"), lambda n: F.lower(n["attrs"]["rel"]) == "canonical"), F.lit(0))["attrs"]["href"]
-    return pages.select(
-        "page_id",
-        (urls.scheme(F.col("url")) == "https").alias("https"),
-        F.lower(root["lang"]).alias("html_lang"),
-        charset.alias("charset"),
-        F.col("doctype").isNotNull().alias("has_doctype"),
-        F.size(nodes).alias("dom_size"),
-        F.length("html").alias("html_chars"),
-        dom.meta(nodes, "viewport").isNotNull().alias("has_viewport"),
-        dom.meta(nodes, "robots").isNotNull().alias("has_meta_robots"),
-        canonical.isNotNull().alias("has_canonical"),
-        F.size(F.filter(nodes, lambda n: F.map_contains_key(n["attrs"], "style"))).alias("n_inline_css"),
-        F.exists(nodes, lambda n: n["tag"].isin("frameset", "frame")).alias("has_frames"),
-        F.exists(nodes, lambda n: (n["tag"] == "table") & F.array_contains(n["anc"], "table")).alias("nested_tables"),
-    )
-
-
-def scores(pages: DataFrame) -> DataFrame:
-    """Weighted on-page, technical and overall percentages of the checks that stored pages allow."""
-    every = (
-        titles(pages).join(headings(pages), "page_id").join(content_stats(pages), "page_id").join(technical(pages), "page_id")
-        .join(link_stats(pages).select("page_id", "n_links"), "page_id", "left").join(pages.select("page_id", "url"), "page_id")
-    )
-    yes = lambda c: F.when(c, 1.0).otherwise(0.0)
-    # Points times weight of every check.
-    on_page = {
-        10 * 1.5: F.when(F.col("title_status") == "missing", 0.0).when(F.col("title_status") == "good", 1.0).otherwise(0.3),
-        10 * 1.2: F.when(F.col("n_h1") == 1, 0.6).when(F.col("n_h1") > 1, 0.3).otherwise(0.0) + F.when(F.col("n_h2") > 0, 0.4).otherwise(0.0),
-        8 * 1.0: yes(F.col("long_enough")),
-        5 * 1.0: yes(urls.is_seo_friendly(F.col("url"))),
-        5 * 0.7: yes(F.coalesce(F.col("n_links"), F.lit(0)) >= 5),
-    }
-    tech = {
-        10 * 1.5: yes(F.col("https")),
-        7 * 1.2: yes(F.col("has_canonical")),
-        10 * 1.5 + 1e-9: yes(F.col("has_viewport")),
-        5 * 1.0: yes(F.col("has_meta_robots")),
-        5 * 0.8: yes(F.col("dom_size") <= 1500),
-        2 * 0.8: yes(F.coalesce(F.lower("charset") == "utf-8", F.lit(False))),
-        2 * 1.0: yes(F.col("has_doctype")),
-    }
-
-    def percent(checks: dict) -> Column:
-        total = F.lit(0.0)
-        for weight, part in checks.items():
-            total = total + F.lit(float(weight)) * part
-        return 100 * total / float(sum(checks))
-
-    out = every.select("page_id", percent(on_page).alias("on_page"), percent(tech).alias("technical"))
-    return out.withColumn("overall", (F.col("on_page") * 0.40 + F.col("technical") * 0.35) / 0.75)
-
-
 def top_terms(docs: DataFrame, n: int = 1, k: int = 10, text_col: str = "text") -> DataFrame:
     """The k most frequent n-grams of every document; ties by first position."""
     from pyspark.sql import Window
 
-    terms = text.ngrams(text.plain_tokens(F.col(text_col)), n)
+    terms = text.ngrams(text.plain_tokens(F.col(text_col), 4 if n == 1 else 3), n)  # single words are longer
     each = docs.select("doc_id", F.posexplode(terms).alias("pos", "term"))
     counted = each.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "pos"))

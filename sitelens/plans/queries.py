@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import pages as op
-from ..sources.tables import parsed_pages, run_log, table
-from . import reports
+from ..operators import checks, classify, jobs, pages as op, products, site
+from ..sources.tables import frontier as frontier_table, parsed_pages, responses, run_log, sitemap_files, table
+from . import frontier, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = "2024-01-20 00:00:00"
@@ -50,19 +50,55 @@ def _attempts(s: SparkSession, d: str) -> DataFrame:
     return reports.retries(runs)
 
 
+def _sitemap(s: SparkSession, d: str) -> DataFrame:
+    starts = s.createDataFrame([("maps", "https://maps.example.com/index.xml", 0)], "site string, url string, position bigint")
+    return site.traverse(sitemap_files(s, d), starts)
+
+
+def _leased(s: SparkSession, d: str) -> DataFrame:
+    domains = s.createDataFrame([("site1.example.com", 5000.0), ("site2.example.com", 10.0)], "domain string, ready_at double")
+    entries, _ = frontier.lease(frontier_table(s, d), domains, 1000.0)
+    return entries.where("started_at = 1000.0 AND status = 'inflight' AND lease_deadline = 1300.0").select("domain", "url_id")
+
+
 def queries() -> dict[str, Query]:
     page = parsed_pages
     return {
         "url_parts": _url_parts,
         "url_identity": _url_identity,
         "url_class": lambda s, d: table(s, d, "pages").select("page_id", urls.url_class(F.col("url")).alias("url_class"), urls.is_product_url(F.col("url")).alias("product_url")),
-        "title_check": lambda s, d: op.titles(page(s, d)).drop("title"),
+        "title_check": lambda s, d: checks.check(page(s, d), "title", "n_titles", "title_length", "title_status", "title_pixels", "title_fits", "title_duplicate_words", "title_has_brand", "title_power_words", of=(checks.title,)),
+        "description_check": lambda s, d: checks.check(page(s, d), "description", "description_length", "description_status", "description_has_cta", of=(checks.description,)),
         "tag_counts": lambda s, d: op.tag_counts(page(s, d)),
-        "headings": lambda s, d: op.headings(page(s, d)).drop("first_h1"),
-        "link_stats": lambda s, d: op.link_stats(page(s, d)),
-        "content_stats": lambda s, d: op.content_stats(page(s, d)),
-        "technical_checks": lambda s, d: op.technical(page(s, d)),
-        "page_scores": lambda s, d: op.scores(page(s, d)),
+        "headings": lambda s, d: checks.check(page(s, d), "h1", *[f"n_h{k}" for k in range(1, 7)], "hierarchy_ok", of=(checks.headings,)).withColumn("h1", F.array_join("h1", "|")),
+        "image_stats": lambda s, d: checks.check(page(s, d), "n_images", "n_images_without_alt", "n_images_not_responsive", "n_image_names_undescriptive", of=(checks.images,)),
+        "link_stats": lambda s, d: checks.check(page(s, d), "n_links", "enough_links", "n_internal", "n_external", "n_internal_nofollow", "n_unsafe_blank", "n_generic", "generic_ratio", "anchor_length", of=(checks.with_links,)),
+        "social_tags": lambda s, d: checks.check(page(s, d), "has_open_graph", "has_twitter_cards", "has_share_buttons", "has_breadcrumbs", of=(checks.social,)),
+        "markup_checks": lambda s, d: checks.check(page(s, d), "n_iframes", "n_scripts", "n_stylesheets", "n_strong", "n_inline_css", "has_flash", "nested_tables", "has_frames", "n_forms", "n_form_fields", of=(checks.markup,)),
+        "content_stats": lambda s, d: checks.check(page(s, d), "n_words", "long_enough", "n_paragraphs", "lorem_ipsum", "has_cta", of=(checks.content,)),
+        "content_structure": lambda s, d: checks.check(page(s, d), "n_paragraphs", "paragraph_words", "n_bullet_lists", "n_numbered_lists", "passive_ratio", "text_ratio", "flesch", "published", "modified", of=(checks.content, checks.dates)),
+        "page_duplicates": lambda s, d: op.duplicate_content(page(s, d).select(F.col("page_id").alias("doc_id"), F.col("visible").alias("text"))),
+        "technical_checks": lambda s, d: checks.check(page(s, d), "https", "html_lang", "charset", "has_charset", "has_doctype", "dom_size", "html_chars", "has_viewport", "has_canonical", "has_meta_robots", "mobile_responsive", "has_media_queries", "has_mixed_content", "is_amp", "has_analytics", "uses_webp", "has_meta_refresh", of=(checks.technical,)),
+        "structured_data": lambda s, d: checks.check(page(s, d), "has_json_ld", "has_microdata", "has_schema", of=(checks.structured,)),
+        "minification": lambda s, d: checks.check(page(s, d), "inline_scripts", "inline_styles", of=(checks.assets,)).select("page_id", F.col("inline_scripts")[0]["char_count"].alias("script_chars"), F.col("inline_scripts")[0]["is_minified"].alias("script_minified"), F.col("inline_styles")[0]["char_count"].alias("style_chars")),
+        "page_scores": lambda s, d: checks.scores(page(s, d)),
+        "page_types": lambda s, d: classify.classify(page(s, d)).select("page_id", "n_product_links", "n_nav_links", "n_articles", "is_homepage", "url_category", "has_search", "has_pagination", "page_type"),
+        "page_jobs": lambda s, d: jobs.routed(classify.classify(page(s, d))),
+        "page_intents": lambda s, d: jobs.intents(page(s, d)),
+        "product_detail": lambda s, d: products.detail(page(s, d)).select("page_id", "title", "price", "sku"),
+        "product_links": lambda s, d: products.listed(page(s, d)).select("page_id", F.size("links").alias("n_links")),
+        "home_links": lambda s, d: products.discovered(page(s, d)),
+        "robots_rules": lambda s, d: site.robots(responses(s, d)).select("origin", "robots_status", F.array_join("sitemaps", ",").alias("sitemaps"), F.array_join("disallowed", ",").alias("disallowed"), "closed_to_all", "closed_to_google"),
+        "crawler_policies": lambda s, d: site.policies(responses(s, d)).select("origin", "url", F.array_join("agents", ",").alias("agents"), F.size("missing").alias("n_missing"), F.col("groups")[0]["training"].alias("training")),
+        "response_checks": lambda s, d: site.response_checks(responses(s, d)).select("url", "status", "encoding", "server", F.array_join("networks", ",").alias("networks"), "is_cached"),
+        "site_checks": lambda s, d: site.site_checks(responses(s, d)).select("origin", "has_sitemap", "sitemap_url", "custom_404"),
+        "sitemap_entries": lambda s, d: _sitemap(s, d).select("source_sitemap", "loc", "lastmod", "priority", "position"),
+        "sitemap_categories": lambda s, d: site.by_category(site.classified(_sitemap(s, d))).select("category", "n"),
+        "frontier_lease": lambda s, d: _leased(s, d),
+        "frontier_fail": lambda s, d: frontier.fail(frontier_table(s, d), frontier_table(s, d).where("priority = 5").select("url_id", F.lit("x").alias("error")), 1000.0).select("url_id", "status", "retries", "next_retry_at", "last_error"),
+        "frontier_recover": lambda s, d: frontier.recover(frontier_table(s, d), 500.0)[1],
+        "frontier_promote": lambda s, d: frontier.statuses(frontier.promote(frontier_table(s, d), 300.0)),
+        "url_slugs": lambda s, d: table(s, d, "pages").select("page_id", urls.slug_quality(F.col("url")).alias("q")).select("page_id", "q.*"),
         "top_words": lambda s, d: op.top_terms(table(s, d, "documents")),
         "top_bigrams": lambda s, d: op.top_terms(table(s, d, "documents"), 2),
         "readability": lambda s, d: op.readability(table(s, d, "documents")),
