@@ -122,7 +122,13 @@ _FR = "(SELECT 'site' || user_id AS domain, event_id AS seq, event_id % 10 AS pr
 _RUNS = "(SELECT event_id AS run_id, 'site' || user_id || '.example.com' AS domain, event_type AS status, ts AS started_at, value AS score FROM events)"
 _STOP = ", ".join(f"'{w}'" for w in text.STOPWORDS)
 _TOKENS = rf"""list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+'),
-  lambda w: regexp_full_match(w, '[a-z0-9]+') AND length(w) >= 3 AND w NOT IN ({_STOP}))"""
+  lambda w: regexp_full_match(w, '[a-z0-9]+') AND length(w) >= LEAST AND w NOT IN ({_STOP}))"""
+# Widths of characters, stated for the SQL on their own.
+_PIXELS = """list_sum(list_transform(string_split(title, ''), lambda c: CASE WHEN c = ' ' THEN 3 WHEN c IN ('i', 'l') THEN 4 WHEN c = 'j' THEN 5
+  WHEN c IN ('t', 'f', 'r', 'I') THEN 6 WHEN c IN ('J', '1', 's', 'z', 'a', 'c', 'e') THEN 7 WHEN c IN ('o', 'u', 'k', 'v', 'x', 'y') THEN 8
+  WHEN c IN ('A', 'E', 'S', 'T', 'L', 'Z') THEN 9 WHEN c IN ('B', 'C', 'D', 'G', 'H', 'K', 'N', 'O', 'P', 'Q', 'R', 'U', 'V', 'X', 'Y') THEN 10
+  WHEN c IN ('M', 'W') THEN 12 ELSE 9 END))"""
+_MAP = "'https://maps.example.com/' || CASE page_id % 10 WHEN 1 THEN 'product-sitemap' WHEN 2 THEN 'category-sitemap' ELSE 'urls' END || (page_id % 10) || '.xml'"
 _BODY = r"""regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|footer|title)\b.*?</(script|style|nav|footer|title)>', ' ', 'g'),
   '(?s)<!--.*?-->|<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g')"""
 
@@ -135,7 +141,7 @@ def _top(n: int) -> str:
     grams = "t" if n == 1 else "list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])"
     return f"""SELECT doc_id, term, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM (
       SELECT doc_id, g[i] AS term, count(*) AS n, min(i) AS pos FROM (
-        SELECT doc_id, g, unnest(range(1, len(g) + 1)) AS i FROM (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)))
+        SELECT doc_id, g, unnest(range(1, len(g) + 1)) AS i FROM (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {_TOKENS.replace('LEAST', '4' if n == 1 else '3')} AS t FROM documents)))
       GROUP BY ALL)) WHERE rank <= 10"""
 
 
@@ -160,13 +166,89 @@ def oracle_sql() -> dict[str, str]:
         "url_parts": f"""SELECT page_id, lower({part(1)}) AS scheme, {host} AS host, {part(3)} AS path, {part(4)} AS query,
           CAST(len({segs}) AS INT) AS depth, length(url) <= 100 AND len({segs}) <= 4 AS seo_friendly FROM pages""",
         "url_identity": f"SELECT page_id, normalized, sha1(normalized) AS url_id FROM (SELECT page_id, {normal} AS normalized FROM pages)",
-        "url_class": f"""SELECT page_id, {_case('lower(url)')} AS url_class,
+        "url_class": f"""SELECT page_id, CASE WHEN {_case("lower(strip_accents(url_decode(replace(url, '+', '%2B'))))")} <> 'other' OR regexp_matches(lower(url), '/author|/page/[0-9]+')
+            THEN {_case("lower(strip_accents(url_decode(replace(url, '+', '%2B'))))")}
+            WHEN shop = 0 THEN 'other' WHEN len(segs) - shop <= 2 THEN 'category'
+            WHEN regexp_full_match(segs[-1], '[a-z0-9][a-z0-9-]+') AND NOT regexp_full_match(segs[-1], '[0-9]+') THEN 'product' ELSE 'other' END AS url_class,
           regexp_matches(lower(p), '{urls.any_of(urls.PRODUCT_URL)}') AND NOT regexp_matches(lower(p), '{urls.any_of(urls.NOT_PRODUCT_URL)}') AS product_url
-          FROM (SELECT *, {part(3)} || CASE WHEN {part(4)} <> '' THEN '?' || {part(4)} ELSE '' END AS p FROM pages)""",
+          FROM (SELECT *, coalesce(list_min(list_filter(range(1, len(segs) + 1), lambda i: segs[i] IN ('shop', 'boutique', 'cat', 'produits'))), 0) AS shop FROM (
+            SELECT *, {part(3)} || CASE WHEN {part(4)} <> '' THEN '?' || {part(4)} ELSE '' END AS p, list_transform({segs}, lambda x: lower(x)) AS segs FROM pages))""",
         "tag_counts": f"SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, {tags} AS tag FROM pages) GROUP BY ALL",
-        "link_stats": r"""SELECT page_id, count(*) AS n_links, count(*) AS n_internal,
-          CAST(count_if(lower(a) IN ('click here', 'read more', 'learn more', 'here', 'more', 'link', 'this')) AS BIGINT) AS n_generic, CAST(sum(length(a)) AS BIGINT) AS anchor_chars
-          FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1)) AS a FROM pages) GROUP BY page_id""",
+        "link_stats": r"""SELECT page_id, CAST(len(a) AS INT) AS n_links, len(a) >= 5 AS enough_links, CAST(len(a) AS INT) AS n_internal, CAST(0 AS INT) AS n_external,
+          CAST(0 AS INT) AS n_internal_nofollow, CAST(0 AS INT) AS n_unsafe_blank,
+          CAST(len(g) AS INT) AS n_generic, CASE WHEN len(t) > 0 THEN round(len(g) / len(t), 3) ELSE 0 END AS generic_ratio,
+          CASE WHEN len(t) > 0 THEN round(list_sum(list_transform(t, lambda x: length(x))) / len(t), 2) ELSE 0 END AS anchor_length
+          FROM (SELECT *, list_filter(a, lambda x: x <> '') AS t, list_filter(a, lambda x: lower(x) IN ('click here', 'read more', 'learn more', 'more', 'here',
+            'this link', 'link', 'see more', 'details', 'view more', 'check this', 'visit')) AS g
+            FROM (SELECT page_id, list_transform(regexp_extract_all(html, '<a href="/[^"]*">([^<]*)</a>', 1), lambda x: trim(replace(x, '&amp;', '&'))) AS a FROM pages))""",
+        "title_check": rf"""SELECT page_id, title, CAST(1 AS INT) AS n_titles, CAST(length(title) AS INT) AS title_length,
+          CASE WHEN title = '' THEN 'missing' WHEN length(title) < 20 THEN 'too_short' WHEN length(title) > 70 THEN 'too_long' ELSE 'good' END AS title_status,
+          CAST({_PIXELS} AS INT) AS title_pixels, title <> '' AND {_PIXELS} <= 600 AS title_fits,
+          CAST(len(list_filter(list_distinct(w), lambda x: length(x) > 2 AND len(list_filter(w, lambda y: y = x)) > 1)) AS INT) AS title_duplicate_words,
+          contains(title, '|') OR contains(title, ' - ') AS title_has_brand,
+          regexp_matches(lower(title), 'ultimate|proven|best|top|essential|secret|exclusive|easy|quick|simple|step-by-step|definitive|complete|powerful|effective|free|instant|guaranteed|new|now|today') AS title_power_words
+          FROM (SELECT *, regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+') AS w
+            FROM (SELECT page_id, trim(replace(regexp_extract(html, '<title>([^<]*)', 1), '&amp;', '&')) AS title FROM pages))""",
+        "description_check": """SELECT page_id, '' AS description, CAST(0 AS INT) AS description_length, 'missing' AS description_status, false AS description_has_cta
+          FROM pages WHERE NOT regexp_matches(lower(html), '<meta[^>]*name="?description')""",
+        "headings": """SELECT page_id, array_to_string(list_transform(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1), lambda x: trim(replace(x, '&amp;', '&'))), '|') AS h1,
+          """
+        + ", ".join(f"CAST(len(regexp_extract_all(html, '<h{k}[ >]')) AS INT) AS n_h{k}" for k in range(1, 7))
+        + """, true AS hierarchy_ok FROM pages""",
+        "image_stats": """SELECT page_id, CAST(len(regexp_extract_all(html, '<img')) AS INT) AS n_images, CAST(len(regexp_extract_all(html, '<img')) AS INT) AS n_images_without_alt,
+          CAST(len(regexp_extract_all(html, '<img')) AS INT) AS n_images_not_responsive, CAST(len(regexp_extract_all(html, '<img')) AS INT) AS n_image_names_undescriptive FROM pages""",
+        "social_tags": """SELECT page_id, contains(html, 'property="og:') AS has_open_graph, contains(html, 'name="twitter:') AS has_twitter_cards,
+          regexp_matches(html, 'class="[^"]*share') AS has_share_buttons, regexp_matches(html, 'class="[^"]*breadcrumb') AS has_breadcrumbs FROM pages""",
+        "markup_checks": """SELECT page_id, """
+        + ", ".join(
+            f"CAST(len(regexp_extract_all(html, '{p}')) AS INT) AS {n}"
+            for n, p in {"n_iframes": "<iframe", "n_scripts": "<script[^>]*src=", "n_stylesheets": "<link[^>]*stylesheet", "n_strong": "<(?:b|strong)>", "n_inline_css": "<[a-z]+ [^>]*style=", "n_forms": "<form"}.items()
+        )
+        + """, contains(html, 'shockwave') AS has_flash, contains(html, '<table') AS nested_tables, contains(html, '<frame') AS has_frames,
+          CAST(0 AS BIGINT) AS n_form_fields FROM pages""",
+        "technical_checks": """SELECT page_id, starts_with(url, 'https:') AS https, lower(regexp_extract(html, '<html lang="([^"]*)"', 1)) AS html_lang,
+          regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset, contains(html, '<meta charset=') AS has_charset, starts_with(lower(html), '<!doctype') AS has_doctype,
+          CAST(len(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|[^>]*</script>', '', 'g'), '<[a-z][a-z0-9]*')) AS INT) AS dom_size, CAST(length(html) AS INT) AS html_chars,
+          contains(html, 'name="viewport"') AS has_viewport, contains(html, 'rel="canonical"') AS has_canonical, contains(html, 'name="robots"') AS has_meta_robots,
+          contains(html, 'name="viewport"') AS mobile_responsive, contains(html, '@media') AS has_media_queries, contains(html, 'src="http://') AS has_mixed_content,
+          contains(html, 'amphtml') AS is_amp, contains(html, 'gtag') AS has_analytics, contains(html, '.webp') AS uses_webp, contains(html, 'http-equiv="refresh"') AS has_meta_refresh FROM pages""",
+        "structured_data": """SELECT page_id, contains(html, 'ld+json') AS has_json_ld, contains(html, 'itemscope') AS has_microdata, contains(lower(html), 'schema.org') AS has_schema FROM pages""",
+        "minification": r"""SELECT page_id, CAST(length(s) AS INT) AS script_chars, length(s) > 500 AS script_minified, CAST(length(c) AS INT) AS style_chars
+          FROM (SELECT page_id, regexp_extract(html, '(?s)<script>(.*?)</script>', 1) AS s, regexp_extract(html, '(?s)<style>(.*?)</style>', 1) AS c FROM pages)""",
+        "product_links": """SELECT page_id, CAST(len(list_distinct(list_filter(regexp_extract_all(html, '<a href="(/[^"]*)"', 1),
+          lambda x: regexp_matches(lower(x), '/products?/|/produits?/|/shop/[^/]+|/items?/|/p/[^/]+|/catalogue/')))) AS INT) AS n_links FROM pages""",
+        "home_links": rf"""SELECT DISTINCT page_id, link, {_case('lower(strip_accents(link))')} AS category
+          FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') || unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS link FROM pages)""",
+        "robots_rules": """SELECT 'https://shop' || c_custkey || '.example.com' AS origin, CASE WHEN c_custkey % 4 = 3 THEN 'not_found' ELSE 'found' END AS robots_status,
+          CASE WHEN c_custkey % 4 = 2 THEN 'https://shop' || c_custkey || '.example.com/map.xml' ELSE '' END AS sitemaps,
+          CASE c_custkey % 4 WHEN 3 THEN '' WHEN 0 THEN '/cart/' || c_custkey || ',/' ELSE '/cart/' || c_custkey END AS disallowed,
+          c_custkey % 4 = 0 AS closed_to_all, false AS closed_to_google FROM customer""",
+        "crawler_policies": """SELECT 'https://shop' || c_custkey || '.example.com' AS origin, 'https://shop' || c_custkey || '.example.com/ai.txt' AS url, 'GPTBot,CCBot' AS agents,
+          CAST(8 AS INT) AS n_missing, 'deny' AS training FROM customer WHERE c_custkey % 2 = 0""",
+        "response_checks": """SELECT 'https://shop' || c_custkey || '.example.com' || p AS url, CAST(CASE WHEN p = '/robots.txt' AND c_custkey % 4 = 3 OR p = '/ai.txt' AND c_custkey % 2 = 1 THEN 404 ELSE 200 END AS INT) AS status,
+          'gzip' AS encoding, CASE WHEN c_custkey % 4 = 1 THEN 'cloudflare' ELSE 'nginx' END AS server, CASE WHEN c_custkey % 4 = 1 THEN 'Cloudflare' ELSE '' END AS networks,
+          c_custkey % 4 = 2 AS is_cached FROM customer, (SELECT unnest(['/robots.txt', '/map.xml', '/ai.txt']) AS p)""",
+        "site_checks": """SELECT 'https://shop' || c_custkey || '.example.com' AS origin, c_custkey % 4 = 2 AS has_sitemap,
+          CASE WHEN c_custkey % 4 = 2 THEN 'https://shop' || c_custkey || '.example.com/map.xml' END AS sitemap_url, false AS custom_404 FROM customer""",
+        "sitemap_entries": f"""SELECT {_MAP} AS source_sitemap, url AS loc, '2024-01-0' || (page_id % 10 % 9 + 1) AS lastmod, CAST('0.' || (page_id % 10) AS DOUBLE) AS priority,
+          CAST(row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) - 1 AS INT) AS position FROM pages""",
+        "sitemap_categories": f"""SELECT category, count(*) AS n FROM (SELECT CASE page_id % 10 WHEN 1 THEN 'product' WHEN 2 THEN 'category' ELSE {_case('lower(strip_accents(url))')} END AS category FROM pages)
+          GROUP BY category""",
+        "frontier_lease": """SELECT domain, url_id FROM (SELECT 'site' || user_id || '.example.com' AS domain, CAST(event_id AS VARCHAR) AS url_id, row_number() OVER (PARTITION BY user_id
+            ORDER BY event_id % 10 > 3, CASE WHEN event_id % 10 <= 3 THEN -event_id ELSE event_id END) AS r FROM events WHERE event_id % 4 = 0)
+          WHERE r = 1 AND domain <> 'site1.example.com'""",
+        "frontier_fail": """SELECT CAST(event_id AS VARCHAR) AS url_id, CASE WHEN NOT hit THEN status WHEN tries > 3 THEN 'failed' ELSE 'retry_scheduled' END AS status,
+          CAST(CASE WHEN hit THEN tries ELSE tries - 1 END AS INT) AS retries,
+          CASE WHEN hit AND tries <= 3 THEN 1000 + least(300, 30 * pow(2, tries - 1)) WHEN NOT hit AND event_id % 4 = 2 THEN CAST(event_id AS DOUBLE) END AS next_retry_at,
+          CASE WHEN hit THEN 'x' END AS last_error
+          FROM (SELECT event_id, event_id % 5 + 1 AS tries, event_id % 4 = 1 AND event_id % 10 = 5 AS hit, ['queued', 'inflight', 'retry_scheduled', 'completed'][event_id % 4 + 1] AS status FROM events)""",
+        "frontier_recover": """SELECT CAST(count_if(event_id % 5 < 3) AS BIGINT) AS requeued, CAST(count_if(event_id % 5 >= 3) AS BIGINT) AS failed
+          FROM (SELECT event_id FROM events WHERE event_id % 4 = 1 AND event_id <= 500 ORDER BY event_id, CAST(event_id AS VARCHAR) LIMIT 100)""",
+        "frontier_promote": """SELECT 'site' || user_id || '.example.com' AS domain, CASE WHEN event_id % 4 = 2 AND event_id IN (SELECT event_id FROM events WHERE event_id % 4 = 2 AND event_id <= 300
+            ORDER BY event_id LIMIT 100) THEN 'queued' ELSE ['queued', 'inflight', 'retry_scheduled', 'completed'][event_id % 4 + 1] END AS status, count(*) AS n FROM events GROUP BY ALL""",
+        "url_slugs": rf"""SELECT page_id, slug, contains(slug, '-') AS has_hyphens, regexp_matches(slug, '[^a-zA-Z0-9-]') AS special_chars, false AS has_keyword,
+          CAST(len(list_filter(regexp_extract_all(lower(slug), '[a-z0-9]+'), lambda w: w IN ({_STOP}))) AS INT) AS n_stopwords,
+          trim(regexp_replace(lower(slug), '[^a-z0-9]+', '-', 'g'), '-') AS normalized FROM (SELECT page_id, coalesce({segs}[-1], '') AS slug FROM pages)""",
         "top_words": _top(1),
         "top_bigrams": _top(2),
         "readability": rf"""SELECT doc_id, n_words, n_sentences, n_syllables, CASE WHEN n_words >= 100 AND n_sentences >= 3
@@ -197,5 +279,6 @@ def oracle_sql() -> dict[str, str]:
         "content_stats": rf"""SELECT page_id, CAST(len(regexp_extract_all({_BODY}, '[\p{{L}}\p{{N}}_]+')) + len(regexp_extract_all(regexp_replace(
           regexp_extract(html, '<title>([^<]*)', 1), '&[a-z]+;', ' ', 'g'), '[\p{{L}}\p{{N}}_]+')) AS INT) AS n_words, n_words >= 300 AS long_enough,
           CAST(len(regexp_extract_all(html, '<p>')) AS INT) AS n_paragraphs, contains(lower({_BODY}), 'lorem ipsum') AS lorem_ipsum,
-          regexp_matches(lower({_BODY}), '{"|".join(op.CTA_PHRASES)}') AS has_cta FROM pages""",
+          regexp_matches(lower({_BODY}),
+            'learn more|read more|buy now|shop now|get started|try now|sign up|contact us|book now|download|discover|find out|see how|start now|join now|request a quote|subscribe') AS has_cta FROM pages""",
     }

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelens.functions import dom, text, urls
-from sitelens.operators import pages as op
+from sitelens.operators import checks
 from sitelens.plans import queries as plans
 from sitelens.plans import reports
 from sitelens.streaming import frontier
@@ -39,19 +39,19 @@ HTML = """<!DOCTYPE html><html lang="EN"><head><title>Best shoes - Shop</title><
 def test_one_page(spark):
     df = spark.createDataFrame([(1, "http://a.example.com/d/e.html", HTML), (2, "http://b.example.com/", None)], "page_id int, url string, html string")
     pages = df.withColumn("dom", dom.parse_dom(F.col("html"))).select("page_id", "url", "html", "dom.*").where("nodes IS NOT NULL")
-    t = op.titles(pages).first()
-    assert (t.title, t.title_status, t.has_power_words) == ("Best shoes - Shop", "short", True)
-    h = op.headings(pages).first()
-    assert (h.n_h1, h.n_h2, h.n_h3, h.hierarchy_ok) == (1, 0, 1, False)
-    found = {r.href: (r.resolved, r.internal, r.generic, r.nofollow) for r in op.links(pages).collect()}
-    assert found["sub/page"] == ("http://a.example.com/d/sub/page", True, False, False)
-    assert found["https://other.example.org/a"][1:] == (False, True, True) and "#x" not in found
-    k = op.technical(pages).first()
-    assert (k.https, k.html_lang, k.charset, k.has_doctype, k.has_meta_robots, k.has_canonical, k.n_inline_css, k.nested_tables) == (
-        False, "en", "utf-8", True, True, True, 1, True,
-    )
-    assert op.content_stats(pages).first().has_cta
-    assert 0 <= op.scores(pages).first().overall <= 100
+    t = checks.check(pages, "title", "title_status", "title_power_words", of=(checks.title,)).first()
+    assert t[1:] == ("Best shoes - Shop", "too_short", True)
+    h = checks.check(pages, "n_h1", "n_h2", "n_h3", "hierarchy_ok", of=(checks.headings,)).first()
+    assert h[1:] == (1, 0, 1, False)
+    found = {r.url: (r.internal, r.anchor, r.rel) for r in pages.select(F.explode(checks.page_links()).alias("x")).select("x.*").collect()}
+    assert found == {
+        "http://a.example.com/home": (True, "Home", ""), "https://other.example.org/a": (False, "Click here", "nofollow"),
+        "http://a.example.com/d/sub/page": (True, "Page", ""),
+    }
+    k = checks.check(pages, "https", "html_lang", "charset", "has_doctype", "has_meta_robots", "has_canonical", of=(checks.technical,)).first()
+    assert k[1:] == (False, "en", "utf-8", True, True, True)
+    assert checks.check(pages, "has_cta", of=(checks.content,)).first().has_cta
+    assert 0 <= checks.scores(pages).first().overall <= 100
 
 
 def test_urls(spark):
