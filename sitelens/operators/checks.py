@@ -499,7 +499,7 @@ def earned(response: Column) -> dict[str, dict[str, Column]]:
             "doctype": yes(c("has_doctype")),
         },
         "content": {
-            "readability": F.when(flesch >= 60, 1.0).when(flesch >= 30, 0.5).when(flesch.isNotNull(), 0.1).otherwise(0.0),
+            "readability": F.element_at(F.transform(F.array(flesch), lambda f: F.when(f >= 60, 1.0).when(f >= 30, 0.5).when(f.isNotNull(), 0.1).otherwise(0.0)), 1),  # the score is made once
             "keyword_usage": F.lit(1.0),  # no keywords are set
             "common_keywords": yes(c("has_common_words")),
             "text_ratio": F.when(c("text_ratio")["status"] == "low_ratio", 0.2).otherwise(1.0),
