@@ -91,13 +91,34 @@ def stem(word: Column) -> Column:
     return out.otherwise(word)
 
 
-def intent_score(text: Column, intent: str) -> Column:
+def _any_word(found: list[str]) -> str:
+    """A pattern for whole words, told apart by their first letters, so that few are tried at a place."""
+    first = sorted({w[0] for w in found})
+    return r"\b(?:" + "|".join(f"{c}(?:{'|'.join(w[1:] for w in found if w[0] == c)})" for c in first) + r")\b"
+
+
+def intent_scores(text: Column) -> Column:
+    """The points of every intent, as a struct: the words of all intents are found in one pass, their phrases in another."""
+    points: dict[str, list[int]] = {}
+    for k, strengths in enumerate(INTENTS.values()):
+        for weight, groups in strengths.items():
+            for word in "|".join(groups).split("|"):
+                points.setdefault(word, [0] * len(INTENTS))[k] += weight
     low = F.lower(F.coalesce(text, F.lit("")))
-    parts = [F.regexp_count(low, F.lit(rf"\b({p})\b")) * weight for weight, ps in INTENTS[intent].items() for p in ps]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out + p
-    return out
+    phrases = [w for w in points if " " in w]  # their words may count for themselves too
+    hits = F.concat(*[F.regexp_extract_all(low, F.lit(_any_word(ws)), F.lit(0)) for ws in ([w for w in points if " " not in w], phrases)])
+    table = F.create_map(*[x for w, p in points.items() for x in (F.lit(w), F.array(*map(F.lit, p)))])
+    found = F.transform(hits, lambda h: F.element_at(table, h))
+
+    def summed(rows: Column) -> Column:
+        total = lambda k: F.aggregate(rows, F.lit(0).cast("bigint"), lambda a, p: a + F.get(p, F.lit(k)))
+        return F.struct(*[total(k).alias(name) for k, name in enumerate(INTENTS)])
+
+    return F.element_at(F.transform(F.array(found), summed), 1)
+
+
+def intent_score(text: Column, intent: str) -> Column:
+    return intent_scores(text)[intent]
 
 
 def price_matches(text: Column) -> Column:
@@ -111,6 +132,29 @@ def first_price(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 0), F.lit("")) for p in PRICES])
 
 
+def times_in(text: Column, part: str) -> Column:
+    """How often a part stands in a text, without overlaps, whatever the case."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return ((F.length(low) - F.length(F.replace(low, F.lit(part.lower()), F.lit("")))) / len(part)).cast("int")
+
+
+def keyword_usage(text: Column, keywords: list[str], most: int = 8) -> Column:
+    """Per target keyword: its count, its share of all words in percent, and words of the same stem, as an array of structs."""
+    every = F.size(plain_tokens(text, 1, stopwords=True))
+    longer = F.array_distinct(plain_tokens(text, 4))
+
+    def one(keyword: str) -> Column:
+        n, low = times_in(text, keyword), keyword.lower()
+        root = stem(F.lit(low.split()[0]))
+        kin = F.filter(longer, lambda w: (stem(w) == root) & (w != low))
+        return F.struct(
+            F.lit(keyword).alias("keyword"), n.alias("n"), F.round(n / F.greatest(every, F.lit(1)) * 100, 2).alias("percent"),
+            F.slice(F.array_sort(kin), 1, most).alias("variants"),
+        )
+
+    return F.array(*map(one, keywords))
+
+
 def emails(text: Column) -> Column:
     """The distinct e-mail addresses in a text, in order, without names of files."""
     found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EMAIL), F.lit(0)))

@@ -69,8 +69,8 @@ def url_signals(url: Column) -> Column:
 def intents(pages: DataFrame, text_col: str = "visible", url_col: str = "url") -> DataFrame:
     """page_id, the four scores by text and address, the primary intent, the confidence and the address's signals."""
     empty = F.trim(F.coalesce(F.col(text_col), F.lit(""))) == ""
-    scores = {k: F.when(empty, 0).otherwise(text.intent_score(F.col(text_col), k) + url_intent(F.col(url_col), k)) for k in text.INTENTS}
-    out = pages.select("page_id", *[c.cast("bigint").alias(k) for k, c in scores.items()], F.when(empty, F.array().cast("array<string>")).otherwise(url_signals(F.col(url_col))).alias("url_signals"))
+    scores = {k: F.when(empty, 0).otherwise(F.col("said")[k] + url_intent(F.col(url_col), k)) for k in text.INTENTS}
+    out = pages.withColumn("said", text.intent_scores(F.col(text_col))).select("page_id", *[c.cast("bigint").alias(k) for k, c in scores.items()], F.when(empty, F.array().cast("array<string>")).otherwise(url_signals(F.col(url_col))).alias("url_signals"))
     ranked = F.sort_array(F.array(*text.INTENTS), asc=False)
     best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
     primary = F.lit("informational")

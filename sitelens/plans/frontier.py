@@ -163,3 +163,8 @@ def waits(entries: DataFrame, domains: DataFrame, now: float, most: float = 5.0)
 
 def statuses(entries: DataFrame) -> DataFrame:
     return entries.groupBy("domain", "status").agg(F.count("*").alias("n"))
+
+
+def status_of(entries: DataFrame, url_id: str) -> DataFrame:
+    """All that is known of one URL; no row if there is none."""
+    return entries.where(F.col("url_id") == url_id)

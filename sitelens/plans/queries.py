@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
-from ..operators import checks, classify, jobs, pages as op, products, site
-from ..sources.tables import frontier as frontier_table, parsed_pages, responses, run_log, sitemap_files, table
+from ..functions.contents import text_contents
+from ..operators import blocks, checks, classify, jobs, pages as op, products, site
+from ..sources.tables import frontier as frontier_table, market_reports, parsed_pages, responses, run_log, sitemap_files, table
 from . import frontier, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +62,17 @@ def _leased(s: SparkSession, d: str) -> DataFrame:
     return entries.where("started_at = 1000.0 AND status = 'inflight' AND lease_deadline = 1300.0").select("domain", "url_id")
 
 
+def _keywords(s: SparkSession, d: str) -> DataFrame:
+    used = text.keyword_usage(F.col("text"), ["data", "the report"])
+    out = table(s, d, "documents").select("doc_id", F.explode(used).alias("k"))
+    return out.select("doc_id", "k.keyword", "k.n", "k.percent", F.array_join("k.variants", ",").alias("variants"))
+
+
+def _cards(s: SparkSession, d: str) -> DataFrame:
+    r = reports.report_cards(market_reports(s, d))
+    return r.select("id", "product_count", "performance_score", "competitor_count", "avg_price", F.size("bars").alias("n_bars"), F.col("bars")[1]["name"].alias("second_bar"), F.size(F.filter("rivals", lambda x: x["badge"] == "Cheaper")).alias("n_cheaper"), F.size("summary").alias("n_lines"))
+
+
 def queries() -> dict[str, Query]:
     page = parsed_pages
     return {
@@ -99,6 +111,12 @@ def queries() -> dict[str, Query]:
         "frontier_recover": lambda s, d: frontier.recover(frontier_table(s, d), 500.0)[1],
         "frontier_promote": lambda s, d: frontier.statuses(frontier.promote(frontier_table(s, d), 300.0)),
         "url_slugs": lambda s, d: table(s, d, "pages").select("page_id", urls.slug_quality(F.col("url")).alias("q")).select("page_id", "q.*"),
+        "page_contents": lambda s, d: table(s, d, "pages").select("page_id", text_contents(F.col("html")).alias("c")).select("page_id", "c.title", "c.language"),
+        "product_blocks": lambda s, d: blocks.product_lists(table(s, d, "pages")).select("page_id", "is_product_list", "confidence", "selector", "n_blocks", F.size("products").alias("n_products")),
+        "page_paging": lambda s, d: blocks.paging(page(s, d)),
+        "keyword_usage": _keywords,
+        "report_cards": _cards,
+        "top_trigrams": lambda s, d: op.top_terms(table(s, d, "documents"), 3),
         "top_words": lambda s, d: op.top_terms(table(s, d, "documents")),
         "top_bigrams": lambda s, d: op.top_terms(table(s, d, "documents"), 2),
         "readability": lambda s, d: op.readability(table(s, d, "documents")),
@@ -138,7 +156,7 @@ def _case(value: str) -> str:
 
 
 def _top(n: int) -> str:
-    grams = "t" if n == 1 else "list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])"
+    grams = "t" if n == 1 else f"list_transform(range(1, len(t) - {n - 2}), lambda i: {' || chr(32) || '.join(f't[i + {k}]' for k in range(n))})"
     return f"""SELECT doc_id, term, n, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS rank FROM (
       SELECT doc_id, g[i] AS term, count(*) AS n, min(i) AS pos FROM (
         SELECT doc_id, g, unnest(range(1, len(g) + 1)) AS i FROM (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {_TOKENS.replace('LEAST', '4' if n == 1 else '3')} AS t FROM documents)))
@@ -249,6 +267,18 @@ def oracle_sql() -> dict[str, str]:
         "url_slugs": rf"""SELECT page_id, slug, contains(slug, '-') AS has_hyphens, regexp_matches(slug, '[^a-zA-Z0-9-]') AS special_chars, false AS has_keyword,
           CAST(len(list_filter(regexp_extract_all(lower(slug), '[a-z0-9]+'), lambda w: w IN ({_STOP}))) AS INT) AS n_stopwords,
           trim(regexp_replace(lower(slug), '[^a-z0-9]+', '-', 'g'), '-') AS normalized FROM (SELECT page_id, coalesce({segs}[-1], '') AS slug FROM pages)""",
+        "page_contents": """SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title, lang AS language FROM (SELECT page_id, trim(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&amp;', '&')) AS h1,
+          trim(replace(regexp_extract(html, '<title>([^<]*)', 1), '&amp;', '&')) AS t, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages)""",
+        "keyword_usage": rf"""SELECT doc_id, keyword, CAST(n AS INT) AS n, round(n / greatest(w, 1) * 100, 2) AS percent, array_to_string(list_sort(list_distinct(list_filter(t, lambda x:
+            regexp_replace(x, CASE WHEN x LIKE '%ing' AND length(x) > 5 THEN 'ing$' WHEN x LIKE '%edly' AND length(x) > 6 THEN 'edly$' WHEN x LIKE '%ed' AND length(x) > 4 THEN 'ed$'
+              WHEN x LIKE '%ly' AND length(x) > 4 THEN 'ly$' WHEN x LIKE '%s' AND length(x) > 3 THEN 's$' ELSE '$' END, '') = split_part(keyword, ' ', 1) AND x <> keyword)))[1:8], ',') AS variants
+          FROM (SELECT doc_id, keyword, (length(low) - length(replace(low, keyword, ''))) // length(keyword) AS n, t, len(list_filter(regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+'),
+            lambda x: regexp_full_match(x, '[a-z0-9]+'))) AS w FROM (SELECT doc_id, unnest(['data', 'the report']) AS keyword, lower(coalesce(text, '')) AS low, {_TOKENS.replace('LEAST', '4')} AS t FROM documents))""",
+        "report_cards": """WITH b AS (SELECT p_brand AS brand, round(avg(p_retailprice), 2) AS price, count(*) AS n FROM part GROUP BY 1)
+          SELECT brand AS id, n AS product_count, 'N/A' AS performance_score, CAST((SELECT count(*) - 1 FROM b) AS INT) AS competitor_count, printf('%.2f', price) AS avg_price,
+            CAST(least(6, (SELECT count(*) FROM b)) AS INT) AS n_bars, (SELECT min(x.brand) FROM b AS x WHERE x.brand <> b.brand) AS second_bar,
+            CAST((SELECT count(*) FROM b AS x WHERE x.brand <> b.brand AND x.price < b.price) AS INT) AS n_cheaper, CAST(2 AS INT) AS n_lines FROM b""",
+        "top_trigrams": _top(3),
         "top_words": _top(1),
         "top_bigrams": _top(2),
         "readability": rf"""SELECT doc_id, n_words, n_sentences, n_syllables, CASE WHEN n_words >= 100 AND n_sentences >= 3

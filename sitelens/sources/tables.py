@@ -70,3 +70,12 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("started_at"),
         F.col("value").alias("score"),
     )
+
+
+def market_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports (id, target_domain, report_data, competitor_count), one for each brand of parts against all others; brands are few."""
+    brands = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("domain")).agg(F.round(F.avg("p_retailprice"), 2).alias("avg_price"), F.count("*").alias("product_count"))
+    every = brands.agg(F.sort_array(F.collect_list(F.struct("domain", "avg_price", "product_count"))).alias("every"))  # a row a brand
+    rivals = F.filter("every", lambda x: x["domain"] != F.col("domain"))
+    data = F.to_json(F.struct(F.struct("avg_price", "product_count").alias("target_site"), rivals.alias("competitors"), F.lit("first line\nsecond line").alias("ai_summary")))
+    return brands.join(F.broadcast(every)).select(F.col("domain").alias("id"), F.col("domain").alias("target_domain"), data.alias("report_data"), F.size(rivals).alias("competitor_count"))
