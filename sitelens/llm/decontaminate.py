@@ -7,7 +7,8 @@ and a hash that hits is verified on the words themselves.  Documents are never s
 
 Defined cases: a null or empty text has no words and no hits; a null or wordless item has no n-grams; items
 without an id mark words but are not reported; repeated rows are reported once per row; an empty table gives
-an empty result; input columns named like an added one are replaced.
+an empty result; a very long text is walked word by word in one task; items with the same n-grams are all reported;
+in mark() and cut_spans() input columns named like an added one are replaced, in drop_documents() they stay.
 """
 
 from __future__ import annotations

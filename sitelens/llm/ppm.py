@@ -16,7 +16,10 @@ scores, and only the pairs of a document and a rarer one are shuffled to meet th
 Texts are read twice and never shuffled.
 
 Defined cases: a null or empty text is its end alone; without training texts every byte is equally likely;
-repeated rows are scored alike, and each counts in training; an empty table gives an empty result.
+repeated rows are scored alike, and each counts in training; a null id counts as an empty one in the choice of held-out
+texts; a very long text is counted and scored as a whole, its words and windows held in one task; windows with equal
+counts go to the executors together or not at all; other columns, whatever their names, are not looked at; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

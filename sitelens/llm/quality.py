@@ -10,7 +10,9 @@ into a column expression.  The features are computed once, without a shuffle, an
 Windows are compared by their 64-bit hashes within one text.
 
 Defined cases: a null or empty text has no words and is not kept; a text without any vote has the prior as its
-posterior; an empty table gives an empty result; repeated rows are judged alike.
+posterior, and a tie, a posterior of exactly a half, keeps it; repeated rows are judged alike, and each counts in the
+estimate; a very long text is one row, its words and their windows held in one task; other columns, whatever their
+names, are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations

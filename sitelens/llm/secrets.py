@@ -16,7 +16,9 @@ Candidates are aggregated by hash and owner before they are shuffled, and a hash
 is left to the splitting of skewed joins.
 
 Defined cases: a null or empty text has no spans; a null owner or repository counts as one of its own; repeated
-rows are reported once per row and count as one owner; an empty table gives an empty result.
+rows are reported once per row and count as one owner; spans of different kinds that start at the same place stand in
+the order of the kinds; a very long text is matched as a whole in one task; columns other than the text,
+the id, the owner and the language are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
