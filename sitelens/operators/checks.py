@@ -508,8 +508,11 @@ def earned(response: Column) -> dict[str, dict[str, Column]]:
     }
 
 
-def scores(pages: DataFrame, weights: dict = WEIGHTS, categories: dict = CATEGORIES) -> DataFrame:
-    """on_page, technical, content and overall percentages, to one place; a page without visible words has no content score."""
+def scores(pages: DataFrame, weights: dict = WEIGHTS, categories: dict = CATEGORIES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """on_page, technical, content and overall percentages, to one place; a page without visible words has no content score.
+
+    ``keep``: other columns of pages that go along.
+    """
     if "response" not in pages.columns:
         pages = pages.withColumn("response", F.lit(None).cast(RESPONSE))
     every = title() | description() | headings() | images() | with_links() | address() | social() | markup() | content() | technical() | structured()
@@ -521,7 +524,7 @@ def scores(pages: DataFrame, weights: dict = WEIGHTS, categories: dict = CATEGOR
         "mobile_responsive", "has_schema", "has_json_ld", "has_microdata", "has_meta_robots", "has_mixed_content", "html_chars", "dom_size", "favicon",
         "has_charset", "has_doctype", "has_common_words", "n_words",
     ]
-    made = pages.withColumn("links", page_links()).select("page_id", "response", *[every[n].alias(n) for n in wanted])
+    made = pages.withColumn("links", page_links()).select("page_id", "response", *keep, *[every[n].alias(n) for n in wanted])
 
     def percent(category: str) -> Column:
         total = F.lit(0.0)
@@ -529,7 +532,7 @@ def scores(pages: DataFrame, weights: dict = WEIGHTS, categories: dict = CATEGOR
             total = total + F.lit(points * weight) * shares[category][name]
         return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * total / float(sum(p * w for p, w in weights[category].values())))), 1)
 
-    out = made.select("page_id", percent("on_page").alias("on_page"), percent("technical").alias("technical"), F.when(F.col("n_words") > 0, percent("content")).otherwise(0.0).alias("content"))
+    out = made.select("page_id", *keep, percent("on_page").alias("on_page"), percent("technical").alias("technical"), F.when(F.col("n_words") > 0, percent("content")).otherwise(0.0).alias("content"))
     total = F.lit(0.0)
     for name, share in categories.items():
         total = total + F.col(name) * share

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, urls
 from ..functions.contents import text_contents
-from ..operators import blocks, checks, classify, jobs, pages as op, products, site
+from ..operators import assets, blocks, checks, classify, jobs, pages as op, products, site
 from ..sources.tables import frontier as frontier_table, market_reports, parsed_pages, responses, run_log, sitemap_files, table
 from . import frontier, reports
 
@@ -115,6 +115,8 @@ def queries() -> dict[str, Query]:
         "product_blocks": lambda s, d: blocks.product_lists(table(s, d, "pages")).select("page_id", "is_product_list", "confidence", "selector", "n_blocks", F.size("products").alias("n_products")),
         "page_paging": lambda s, d: blocks.paging(page(s, d)),
         "keyword_usage": _keywords,
+        "related_terms": lambda s, d: table(s, d, "documents").select("doc_id", F.array_join(assets.related_terms(F.col("text"), ["data"]), ",").alias("terms")),
+        "spelling": lambda s, d: assets.misspelled(table(s, d, "documents"), table(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))).select("doc_id", "n_misspelled", F.array_join("sample", ",").alias("sample")),
         "report_cards": _cards,
         "top_trigrams": lambda s, d: op.top_terms(table(s, d, "documents"), 3),
         "top_words": lambda s, d: op.top_terms(table(s, d, "documents")),
@@ -274,6 +276,13 @@ def oracle_sql() -> dict[str, str]:
               WHEN x LIKE '%ly' AND length(x) > 4 THEN 'ly$' WHEN x LIKE '%s' AND length(x) > 3 THEN 's$' ELSE '$' END, '') = split_part(keyword, ' ', 1) AND x <> keyword)))[1:8], ',') AS variants
           FROM (SELECT doc_id, keyword, (length(low) - length(replace(low, keyword, ''))) // length(keyword) AS n, t, len(list_filter(regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+'),
             lambda x: regexp_full_match(x, '[a-z0-9]+'))) AS w FROM (SELECT doc_id, unnest(['data', 'the report']) AS keyword, lower(coalesce(text, '')) AS low, {_TOKENS.replace('LEAST', '4')} AS t FROM documents))""",
+        "related_terms": f"""SELECT doc_id, coalesce(array_to_string(terms, ','), '') AS terms FROM documents LEFT JOIN (
+          SELECT doc_id, list(term ORDER BY rank) AS terms FROM ({_top(1).replace("rank <= 10", "rank <= 20").replace("AS t FROM documents", "AS t0 FROM documents").replace("SELECT doc_id, t AS g", "SELECT doc_id, list_filter(t0, lambda w: w <> 'data') AS g")})
+          GROUP BY doc_id) USING (doc_id)""",
+        "spelling": r"""WITH known AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark),
+          words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '[ß-ÿ]', '1', 'g'), '\b[a-z]{3,}\b')) AS word FROM documents)
+          SELECT doc_id, coalesce(n, 0) AS n_misspelled, coalesce(array_to_string(w[1:20], ','), '') AS sample FROM documents LEFT JOIN (
+            SELECT doc_id, count(*) AS n, list(word ORDER BY word) AS w FROM words WHERE word NOT IN (SELECT word FROM known) GROUP BY doc_id) USING (doc_id)""",
         "report_cards": """WITH b AS (SELECT p_brand AS brand, round(avg(p_retailprice), 2) AS price, count(*) AS n FROM part GROUP BY 1)
           SELECT brand AS id, n AS product_count, 'N/A' AS performance_score, CAST((SELECT count(*) - 1 FROM b) AS INT) AS competitor_count, printf('%.2f', price) AS avg_price,
             CAST(least(6, (SELECT count(*) FROM b)) AS INT) AS n_bars, (SELECT min(x.brand) FROM b AS x WHERE x.brand <> b.brand) AS second_bar,
