@@ -10,11 +10,10 @@ import re
 import statistics
 from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dom, text, urls
+from ..functions import dom, passes, text, urls
 from .checks import _attr, _no
 from .classify import _under
 
@@ -179,14 +178,9 @@ def product_list(html: str | None) -> dict | None:
     }
 
 
-def _lists(html: pd.Series) -> pd.DataFrame:
-    names = ["is_product_list", "confidence", "selector", "n_blocks", "avg_score", "consistency", "url_share", "products"]
-    return pd.DataFrame([product_list(h) or dict.fromkeys(names) for h in html], columns=names)
-
-
 def product_lists(pages: DataFrame) -> DataFrame:
     """page_id and the best group of blocks of every page; nulls where there is none; links are resolved."""
-    found = F.pandas_udf(_lists, SCHEMA)(F.col("html"))
+    found = passes.column(F.col("html"), product_list, SCHEMA)
     out = pages.select("page_id", "url", found.alias("b"))
     to = lambda p: F.struct(F.coalesce(urls.absolute(F.col("url"), p["url"]), p["url"]).alias("url"), p["title"].alias("title"), p["price"].alias("price"))
     return out.select(
