@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dom, text, urls
+from ..functions import dom, terms, text, urls
 from . import checks, site
 from .checks import _attr, _has, _no
-from .pages import _ranked
 
 ASSETS = "array<struct<url:string,status_code:int,headers:map<string,string>,resource_type:string,text:string>>"
 # How many are looked at, the largest sizes, and the elements and audits by their names.
@@ -116,9 +115,7 @@ def speed(answer: Column) -> Column:
 
 def related_terms(value: Column, keywords: list[str], k: int = 20) -> Column:
     """The k most frequent longer words of a text but for the keywords; ties by first position."""
-    low = [w.lower() for w in keywords]
-    tokens = F.filter(text.plain_tokens(value, 4), lambda t: ~t.isin(*low)) if low else text.plain_tokens(value, 4)
-    return F.coalesce(F.transform(_ranked(tokens, k), lambda r: r["term"]), F.array().cast("array<string>"))
+    return F.transform(terms.top(value, 1, k, 4, tuple(w.lower() for w in keywords)), lambda r: r["term"])
 
 
 def misspelled(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 20) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import terms, text
 
 # Pixel widths of characters, and marketing words.
 CHAR_PX = {
@@ -40,28 +40,11 @@ def tag_counts(pages: DataFrame) -> DataFrame:
     )
 
 
-def _ranked(terms: Column, k: int) -> Column:
-    """The k most frequent of an array's terms as (n, pos, term), n below zero; ties by first position."""
-
-    def runs(s: Column) -> Column:  # equal terms stand side by side, by position
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["t"] != F.get(s, i - 1)["t"]))
-        each = lambda a, b: F.struct((a - F.coalesce(b, F.size(s))).alias("n"), F.get(s, a)["i"].alias("pos"), F.get(s, a)["t"].alias("term"))
-        return F.slice(F.sort_array(_once(starts, lambda x: F.zip_with(x, F.slice(x, 2, F.size(x)), each))), 1, k)
-
-    placed = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-    return _once(F.when(F.size(terms) > 0, placed), runs)
-
-
-def _once(value: Column, f) -> Column:
-    """f of a value that is made once, however often f uses it; null for null."""
-    return F.when(value.isNotNull(), F.element_at(F.transform(F.array(value), f), 1))
-
-
 def top_terms(docs: DataFrame, n: int = 1, k: int = 10, text_col: str = "text") -> DataFrame:
     """The k most frequent n-grams of every document, ties by first position; counted within the row, without a shuffle."""
-    terms = text.ngrams(text.plain_tokens(F.col(text_col), 4 if n == 1 else 3), n)  # single words are longer
-    top = docs.select("doc_id", terms.alias("terms")).select("doc_id", F.posexplode(_ranked(F.col("terms"), k)).alias("rank", "r"))
-    return top.select("doc_id", F.col("r.term").alias("term"), (-F.col("r.n")).cast("bigint").alias("n"), (F.col("rank") + 1).alias("rank"))
+    made = docs.select("doc_id", terms.top(F.col(text_col), n, k, 4 if n == 1 else 3).alias("top"))  # single words are longer
+    top = made.select("doc_id", F.posexplode("top").alias("rank", "r"))
+    return top.select("doc_id", F.col("r.term").alias("term"), F.col("r.n").alias("n"), (F.col("rank") + 1).alias("rank"))
 
 
 def readability(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from sitelens.functions import contents, dom, passes
-from sitelens.operators import blocks
+from sitelens.operators import assets, blocks, pages
 
 PAGE = "<html><body><div class='a'><h1>Page {0}</h1>" + "<p class='x'>word &amp; word" * 20 + "</div></body></html>"
 
@@ -48,3 +48,13 @@ def test_page_passes_take_batches_by_iterator(spark):
         plan = made._jdf.queryExecution().executedPlan().toString()
         line = next(x for x in plan.split("\n") if "ArrowEvalPython" in x)
         assert line.endswith(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}")
+
+
+def test_frequent_terms_are_counted_in_pieces(spark):
+    rows = [(1, "one two one two one, three"), (2, "the and of"), (3, None), (4, "ab_cd naïve abc𝒳 xyz9 xyz9 İx"), (5, "Long LONG words Words long")]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted(tuple(r) for r in pages.top_terms(df, 2, 2).collect())
+    assert got == [(1, "one two", 2, 1), (1, "two one", 2, 2), (4, "xyz9 xyz9", 1, 1), (5, "long long", 1, 1), (5, "long words", 1, 2)]
+    top = df.select(F.col("doc_id"), assets.related_terms(F.col("text"), ["words"]).alias("t"))
+    assert {r.doc_id: r.t for r in top.collect()} == {1: ["three"], 2: [], 3: [], 4: ["xyz9"], 5: ["long"]}
+    assert "ArrowEvalPython" in pages.top_terms(df, 3)._jdf.queryExecution().executedPlan().toString()
