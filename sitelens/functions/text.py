@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ STOPWORDS = (
     "against between through during before after above below from up down out off over under again further once here when where why "
     "how all any both each few more most other some nor only own same so than too very s t can just don should now"
 ).split()
+# Endings of words, tried in this order.
+ENDINGS = ("ing", "edly", "ed", "ly", "s")
 # Price forms, tried in this order.
 PRICES = [r"\d[\d\s]*[.,]\d{2}\s*(?:DT|TND|\$)", r"(?:DT|TND|€|\$)\s*\d[\d\s]*[.,]?\d*", r"\d+[.,]?\d*\s*(?:DT|TND|€|\$)"]
 # Endings of file names that look like addresses.
@@ -84,13 +88,23 @@ def syllables(word: Column) -> Column:
 
 def stem(word: Column) -> Column:
     out = None
-    for end in ("ing", "edly", "ed", "ly", "s"):  # fixed values
+    for end in ENDINGS:
         test = word.endswith(end) & (F.length(word) > len(end) + 2)
         cut = F.regexp_replace(word, f"{end}$", "")
         out = F.when(test, cut) if out is None else out.when(test, cut)
     return out.otherwise(word)
 
 
+# Letters, digits and _; with a letter beyond 16 bits in the pattern, what is looked back at is read by code points.
+_BEFORE, _AFTER = r"(?<![\p{L}\p{N}_𝒳]%s)", r"(?![\p{L}\p{N}_])"
+
+
+def _of_stem(word: str) -> str:
+    """A pattern for the whole words that may have the stem of a word; it looks back only where a root stands."""
+    roots = sorted({re.escape(word[: len(word) - len(end)]) for end in ("", *ENDINGS) if word.endswith(end)})
+    return f"(?:{'|'.join(r + _BEFORE % r for r in roots)})(?:{'|'.join(ENDINGS)})?{_AFTER}"
+
+
 def _any_word(found: list[str]) -> str:
     """A pattern for whole words, told apart by their first letters, so that few are tried at a place."""
     first = sorted({w[0] for w in found})
@@ -139,20 +153,26 @@ def times_in(text: Column, part: str) -> Column:
 
 
 def keyword_usage(text: Column, keywords: list[str], most: int = 8) -> Column:
-    """Per target keyword: its count, its share of all words in percent, and words of the same stem, as an array of structs."""
-    every = F.size(plain_tokens(text, 1, stopwords=True))
-    longer = F.array_distinct(plain_tokens(text, 4))
+    """Per target keyword: its count, its share of all words in percent, and words of the same stem, as an array of structs.
+
+    Words are found in the text by patterns, without an array of all of them: those of one stem are the stem with an ending or none.
+    """
+    every = lambda low: F.regexp_count(low, F.lit(f"{_BEFORE % ''}[a-z0-9]++{_AFTER}"))
 
-    def one(keyword: str) -> Column:
-        n, low = times_in(text, keyword), keyword.lower()
+    def one(keyword: str, x: Column) -> Column:
+        low = keyword.lower()
+        n = ((F.length(x["low"]) - F.length(F.replace(x["low"], F.lit(low), F.lit("")))) / len(keyword)).cast("int")
         root = stem(F.lit(low.split()[0]))
-        kin = F.filter(longer, lambda w: (stem(w) == root) & (w != low))
+        found = F.array_distinct(F.regexp_extract_all(x["low"], F.lit(_of_stem(low.split()[0])), F.lit(0)))
+        kin = F.filter(found, lambda w: (F.length(w) >= 4) & w.rlike("^[a-z0-9]+$") & ~w.isin(*STOPWORDS) & (stem(w) == root) & (w != low))
         return F.struct(
-            F.lit(keyword).alias("keyword"), n.alias("n"), F.round(n / F.greatest(every, F.lit(1)) * 100, 2).alias("percent"),
+            F.lit(keyword).alias("keyword"), n.alias("n"), F.round(n / F.greatest(x["every"], F.lit(1)) * 100, 2).alias("percent"),
             F.slice(F.array_sort(kin), 1, most).alias("variants"),
         )
 
-    return F.array(*map(one, keywords))
+    lowered = F.array(F.lower(F.coalesce(text, F.lit(""))))  # made once, and the words counted once, for all keywords
+    counted = F.transform(lowered, lambda low: F.struct(low.alias("low"), every(low).alias("every")))
+    return F.element_at(F.transform(counted, lambda x: F.array(*[one(k, x) for k in keywords])), 1)
 
 
 def emails(text: Column) -> Column:

@@ -180,3 +180,22 @@ def test_ingest(spark, tmp_path):
 def test_status_of(spark):
     entries = spark.createDataFrame([("a", "queued")], "url_id string, status string")
     assert frontier.status_of(entries, "a").first().status == "queued" and frontier.status_of(entries, "b").count() == 0
+
+
+def test_keyword_words_as_by_all_words(spark):
+    """The share and the words of one stem as they come from an array of all words; found by patterns in the text."""
+    rows = [
+        ("Walking walks walked, walkedly walkly walk 𝒳walks walks𝒳 naïve_walks walks_ WALKS9 walking-stick",), ("",), (None,), ("the walkings and é walk é",),
+        ("using used uses use us used9 ing edly",), ("x" * 5000 + " walks",),
+    ]
+    df = spark.createDataFrame(rows, "t string")
+    keywords = ["walk", "walking stick", "using", "us", "edly", "c++ x"]
+    longer, every = F.array_distinct(text.plain_tokens(F.col("t"), 4)), F.size(text.plain_tokens(F.col("t"), 1, stopwords=True))
+    of = lambda k: F.filter(longer, lambda w: (text.stem(w) == text.stem(F.lit(k.split()[0]))) & (w != k))
+    kin = [F.slice(F.array_sort(of(k)), 1, 8) for k in keywords]
+    share = [F.round(text.times_in(F.col("t"), k) / F.greatest(every, F.lit(1)) * 100, 2) for k in keywords]
+    used = text.keyword_usage(F.col("t"), keywords)
+    for r in df.select(used.alias("k"), F.array(*kin).alias("kin"), F.array(*share).alias("share")).collect():
+        assert [x.variants for x in r.k] == r.kin and [x.percent for x in r.k] == r.share
+    plan = df.select(used)._jdf.queryExecution().executedPlan().toString()
+    assert "array_distinct(filter(" not in plan  # no array of all words
