@@ -58,3 +58,8 @@ def test_frequent_terms_are_counted_in_pieces(spark):
     top = df.select(F.col("doc_id"), assets.related_terms(F.col("text"), ["words"]).alias("t"))
     assert {r.doc_id: r.t for r in top.collect()} == {1: ["three"], 2: [], 3: [], 4: ["xyz9"], 5: ["long"]}
     assert "ArrowEvalPython" in pages.top_terms(df, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_references_are_decoded_also_where_they_are_cut_off():
+    page = dom.parse("<title>token = &quot;77</title><h1>a &amp; b&amp</h1>")
+    assert [n["text"] for n in page["nodes"]] == ['token = "77', "a & b&"] and page["full"] == 'token = "77 a & b&'
