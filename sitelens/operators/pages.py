@@ -35,9 +35,9 @@ def pixels(value: Column) -> Column:
 
 
 def tag_counts(pages: DataFrame) -> DataFrame:
-    return (
-        pages.select("page_id", F.explode("nodes.tag").alias("tag")).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
-    )
+    """explode() would have Spark ask first for pages with nodes, and parse every page twice."""
+    tags = pages.select("page_id", F.explode_outer("nodes.tag").alias("tag")).where("tag IS NOT NULL")
+    return tags.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 def top_terms(docs: DataFrame, n: int = 1, k: int = 10, text_col: str = "text") -> DataFrame:

@@ -60,6 +60,22 @@ def test_frequent_terms_are_counted_in_pieces(spark):
     assert "ArrowEvalPython" in pages.top_terms(df, 3)._jdf.queryExecution().executedPlan().toString()
 
 
+def python_steps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+
+
+def few_pages(spark):
+    rows = [(1, "<p>one<p>two"), (1, "<p>one"), (2, ""), (3, None), (4, "no element"), (5, "<br>")]
+    df = spark.createDataFrame(rows, "page_id int, html string")
+    return df.withColumn("dom", dom.parse_dom(F.col("html"))).select("page_id", "dom.*")
+
+
+def test_tags_are_counted_over_one_parse(spark):
+    df = pages.tag_counts(few_pages(spark))
+    assert python_steps(df) == 1
+    assert sorted(tuple(r) for r in df.collect()) == [(1, "p", 3), (5, "br", 1)]
+
+
 def test_references_are_decoded_also_where_they_are_cut_off():
     page = dom.parse("<title>token = &quot;77</title><h1>a &amp; b&amp</h1>")
     assert [n["text"] for n in page["nodes"]] == ['token = "77', "a & b&"] and page["full"] == 'token = "77 a & b&'
