@@ -76,6 +76,13 @@ def test_tags_are_counted_over_one_parse(spark):
     assert sorted(tuple(r) for r in df.collect()) == [(1, "p", 3), (5, "br", 1)]
 
 
+def test_equal_pages_are_told_over_one_parse(spark):
+    docs = few_pages(spark).select(F.col("page_id").alias("doc_id"), F.col("visible").alias("text"))
+    df = pages.duplicate_content(docs.unionByName(spark.createDataFrame([(7, None), (8, None)], "doc_id int, text string")))
+    assert [tuple(r)[1:] for r in df.collect()] == [(2, 2)]  # both without text; nulls are no group
+    assert python_steps(pages.duplicate_content(docs)) == 1
+
+
 def test_references_are_decoded_also_where_they_are_cut_off():
     page = dom.parse("<title>token = &quot;77</title><h1>a &amp; b&amp</h1>")
     assert [n["text"] for n in page["nodes"]] == ['token = "77', "a & b&"] and page["full"] == 'token = "77 a & b&'
