@@ -1,11 +1,13 @@
 """Passes of plain Python over pages: results in order, and few pages held at a time."""
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from sitelens.functions import contents, dom, passes
 from sitelens.operators import assets, blocks, pages
+from sitelens.plans import queries
 
 PAGE = "<html><body><div class='a'><h1>Page {0}</h1>" + "<p class='x'>word &amp; word" * 20 + "</div></body></html>"
 
@@ -86,3 +88,10 @@ def test_equal_pages_are_told_over_one_parse(spark):
 def test_references_are_decoded_also_where_they_are_cut_off():
     page = dom.parse("<title>token = &quot;77</title><h1>a &amp; b&amp</h1>")
     assert [n["text"] for n in page["nodes"]] == ['token = "77', "a & b&"] and page["full"] == 'token = "77 a & b&'
+
+
+@pytest.mark.parametrize("name", ["content_structure"])
+def test_queries_parse_once_and_by_iterator(spark, sf_dir, name):
+    df = queries.queries()[name](spark, sf_dir)
+    steps = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "EvalPython [" in x]
+    assert [x.rpartition(", ")[2] for x in steps] == [str(PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF)]
