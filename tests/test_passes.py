@@ -90,7 +90,7 @@ def test_references_are_decoded_also_where_they_are_cut_off():
     assert [n["text"] for n in page["nodes"]] == ['token = "77', "a & b&"] and page["full"] == 'token = "77 a & b&'
 
 
-@pytest.mark.parametrize("name", ["content_structure", "page_scores", "page_jobs"])
+@pytest.mark.parametrize("name", ["content_structure", "page_scores", "page_jobs", "page_types"])
 def test_queries_parse_once_and_by_iterator(spark, sf_dir, name):
     df = queries.queries()[name](spark, sf_dir)
     steps = [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "EvalPython [" in x]
